@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch of rows into runs of about ``most`` text bytes, so that work memory stays bounded."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:

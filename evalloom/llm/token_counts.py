@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._pretokens import PreTokens, vocabulary
@@ -274,7 +275,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("text")
         n = transducer(path).count(PreTokens(column.to_pylist(), path))
-        size = pa.compute.binary_length(column).cast(pa.int64())
+        size = pc.binary_length(column).cast(pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_batches(texts(docs), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", most=1 << 20)
