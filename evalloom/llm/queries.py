@@ -41,6 +41,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_matches
+
+    return license_matches(_read(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, map_batches, texts
+from ._spark import cut, map_batches, slices, texts
 
 ORDERS = (3, 4, 5, 6)
 BINS = 1 << 22
@@ -167,3 +167,18 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
     return score_toxicity(docs, fit(docs, labels, max_rows))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't call toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    hidden = docs.withColumn("_scored", F.coalesce("text", F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 1 << 20, "_scored"):
+                clean = shared.value.scores(some.column("_scored").to_pylist()) < 0.5
+                kept = some.filter(pa.array(clean))
+                yield kept.drop_columns(["_scored"])
+
+    return hidden.mapInArrow(run, docs.schema)
