@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RECALL_AT = (1, 5, 10, 50, 100, 200, 300, 400, 500)
@@ -43,3 +43,26 @@ def recall_rollup(ranks: DataFrame, levels: Sequence[Sequence[str]], at: Sequenc
     names = list(dict.fromkeys(c for level in levels for c in level))
     sets = [[F.col(c) for c in level] for level in levels]
     return ranks.groupingSets(sets, *[F.col(c) for c in names]).agg(*recall_columns(at=at))
+
+
+def best_ranks(scored: DataFrame, query: str, candidate: str, truth: str, score: str = "score") -> DataFrame:
+    """0-based rank of the best true candidate of each query, ties by the higher candidate first; queries without one go."""
+    order = F.struct(F.col(score), F.col(candidate))
+    best = scored.groupBy(query).agg(F.max(F.when(F.col(truth), order)).alias("_b"), F.collect_list(order).alias("_all")).where("_b is not null")
+    return best.select(query, F.size(F.filter("_all", lambda x: x > F.col("_b"))).cast("long").alias("rank"))
+
+
+def dual_softmax(scored: DataFrame, by: str, score: str = "score") -> DataFrame:
+    """score * softmax(score) over the rows of each ``by``."""
+    w = Window.partitionBy(by)
+    top = F.max(score).over(w)
+    grown = F.exp(F.col(score) - top)
+    return scored.withColumn(score, F.col(score) * grown / F.sum(grown).over(w))
+
+
+def both_directions(ranks: DataFrame, tier: str, direction: str, at: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """R@K to two places by tier and direction, and ``r_mean``: the mean of the rounded values of both directions."""
+    columns = [F.round(100 * F.avg((F.col("rank") < k).cast("double")), 2).alias(f"r_at_{k}") for k in at]
+    each = ranks.groupBy(tier, direction).agg(*columns)
+    mean = sum((F.col(f"r_at_{k}") for k in at[1:]), F.col(f"r_at_{at[0]}")) / len(at)
+    return each.withColumn("r_mean", F.round(F.avg(mean).over(Window.partitionBy(tier)), 4))

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions.vectors import dot, unit
+from evalloom.operators import ranking, retrieval
 from evalloom.operators.ranking import optimistic_ranks, recall
 from evalloom.plans.catalog import query
+from evalloom.plans.tables import read, rounded
 
 QUERY_EVERY = 20
 
 
 @query(
     """
-WITH e AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings),
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 q AS (SELECT vec_id AS query_id, label, v AS qv FROM e WHERE vec_id % 20 = 0),
 p AS (SELECT q.query_id, min(e.vec_id) AS pos_id FROM q JOIN e ON q.label = e.label AND q.query_id <> e.vec_id GROUP BY 1),
 s AS (SELECT q.query_id, q.label, e.vec_id, e.vec_id = p.pos_id AS is_pos,
@@ -51,3 +53,138 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(dot(F.col("qv"), F.col("v")), 9).alias("score"),
     )
     return recall(optimistic_ranks(scored, ["query_id", "label"]), ["label"])
+
+
+# -- ranks from arithmetic on events -------------------------------------------------------------------------------
+
+_RANKS_SQL = "WITH r AS (SELECT event_type AS tier, user_id % 5 AS category, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 3 END AS hn_bin, (event_id * 7919) % 600 AS rank FROM events) "
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    return read(spark, sf_dir, "events").select(F.col("event_type").alias("tier"), (u % 5).alias("category"), F.when(u % 4 != 0, u % 3).alias("hn_bin"), ((F.col("event_id") * 7919) % 600).alias("rank"))
+
+
+@query(_RANKS_SQL + """SELECT tier, category, round(100 * avg((rank < 1)::INT::DOUBLE), 4) AS r_at_1, round(100 * avg((rank < 10)::INT::DOUBLE), 4) AS r_at_10, round(100 * avg((rank < 100)::INT::DOUBLE), 4) AS r_at_100,
+floor(median(rank))::BIGINT AS med_rank, count(*) AS n FROM r GROUP BY GROUPING SETS ((), (tier), (tier, category))""")
+def recall_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: overall, tier, tier x category in one pass."""
+    return ranking.recall_rollup(_ranks(spark, sf_dir), [(), ("tier",), ("tier", "category")], (1, 10, 100))
+
+
+@query(_RANKS_SQL + """SELECT tier, hn_bin, round(100 * avg((rank < 100)::INT::DOUBLE), 4) AS r_at_100, floor(median(rank))::BIGINT AS med_rank, count(*) AS n FROM r WHERE hn_bin IS NOT NULL GROUP BY 1, 2""")
+def recall_by_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: hard-negative bins, null ones left out."""
+    return recall(_ranks(spark, sf_dir).where("hn_bin is not null"), ["tier", "hn_bin"], (100,))
+
+
+_PAIRS_SQL = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label = i.label AS same, round((list_dot_product(q.v, i.v) + 1) / 2, 4) AS score
+      FROM n q JOIN n i ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id) """
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated query set (every 50th vector) against all vectors."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("v"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.col("v").alias("qv"))
+    i = e.select(F.col("vec_id").alias("item_id"), "label", "v")
+    scored = q.join(i, F.col("item_id") != F.col("query_id"))
+    return scored.select("query_id", "item_id", (F.col("q_label") == F.col("label")).alias("same"), F.round((dot(F.col("qv"), F.col("v")) + 1) / 2, 4).alias("score"))
+
+
+@query(_PAIRS_SQL + "SELECT query_id, item_id, score, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM p WHERE score >= 0.5) WHERE r <= 10")
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search, halved scores, threshold, the best ten."""
+    return retrieval.top_k(_pairs(spark, sf_dir).drop("same"), 10, least=0.5)
+
+
+@query(_PAIRS_SQL + "SELECT query_id, min(r) - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC) AS r FROM p) WHERE same GROUP BY 1")
+def best_truth_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best rank over several true items; ties: the higher index first."""
+    return ranking.best_ranks(_pairs(spark, sf_dir), "query_id", "item_id", "same")
+
+
+@query(_PAIRS_SQL + ", s AS (SELECT *, score * exp(score - max(score) OVER w) / sum(exp(score - 1)) OVER w * exp(max(score) OVER w - 1) AS d FROM p WINDOW w AS (PARTITION BY item_id)) SELECT query_id, item_id, round(d, 6) AS score FROM s")
+def dual_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores times their softmax over the queries."""
+    return rounded(ranking.dual_softmax(_pairs(spark, sf_dir), "item_id").select("query_id", "item_id", "score"))
+
+
+@query(_PAIRS_SQL + """, v AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1 AS rank FROM p),
+t AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY (item_id * 31) % 101, item_id) - 1 AS rank FROM p),
+f AS (SELECT query_id, item_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT * FROM v WHERE rank < 20 UNION ALL SELECT * FROM t WHERE rank < 20) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) - 1 AS rank FROM f)
+SELECT query_id, item_id, rank, least(round(s * 30, 4), 1.0) AS score FROM k WHERE rank < 10""")
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal rank fusion of two rankings, normalised."""
+    p = _pairs(spark, sf_dir)
+    other = p.withColumn("score", -((F.col("item_id") * 31) % 101).cast("double"))
+    fused = retrieval.fuse([retrieval.top_k(p, 20), retrieval.top_k(other, 20)], 10)
+    return retrieval.normal_scores(fused, "rrf").select("query_id", "item_id", "rank", "score")
+
+
+_BM25_SQL = """WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT count(*) FILTER (WHERE len(w) > 0)::DOUBLE AS n, sum(len(w))::DOUBLE / count(*) FILTER (WHERE len(w) > 0) AS avg_len FROM t),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id < 10),
+p AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM t), tf AS (SELECT term, doc_id, any_value(l) AS l, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY 1, 2) """
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = read(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.bm25(read(spark, sf_dir, "documents"), q)
+
+
+@query(_BM25_SQL + "SELECT query_id, doc_id, round(score, 6) AS score, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 20")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty documents of ten queries (items are the queries, a top-k report)."""
+    return retrieval.top_k(rounded(_bm25(spark, sf_dir)), 20, "doc_id")
+
+
+@query(_BM25_SQL + "SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 3) AS score FROM s WHERE doc_id % 10 = 3")
+def bm25_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores over the query's best among filtered documents."""
+    s = _bm25(spark, sf_dir).where("doc_id % 10 = 3")
+    from pyspark.sql import Window
+
+    return s.select("query_id", "doc_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 3).alias("score"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('fr', 'de') AND source = 'src1' AND list_has_any([lang, source], ['de', 'src1']) ORDER BY doc_id LIMIT 100")
+def filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters only, the first hundred by id; empty filters are dropped."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.array("lang", "source").alias("tags"))
+    where = retrieval.metadata_filter({"lang": ["fr", "de"], "source": "src1", "tags": ["de", "src1"], "player": [], "date": None}, arrays=["tags"])
+    return d.where(where).select("doc_id", "lang", "source").orderBy("doc_id").limit(100)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate::DATE >= DATE '1995-01-01' AND o_orderdate::DATE <= DATE '1995-03-31' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date range grammar and source expansion."""
+    where = retrieval.metadata_filter({"o_orderdate": "1995-01-01..1995-03-31", "o_orderpriority": "hurried"}, dates=["o_orderdate"], expand={"hurried": ["1-URGENT", "2-HIGH"]}, column="o_orderpriority")
+    return read(spark, sf_dir, "orders").where(where).select("o_orderkey", "o_orderdate")
+
+
+@query("""WITH h AS (SELECT doc_id % 50 AS doc_id, lang AS query_id, (doc_id % 17)::DOUBLE AS score, source AS sentence FROM documents),
+o AS (SELECT query_id, doc_id, sentence, min(-score) AS s, min(-score) AS f FROM h GROUP BY 1, 2, 3)
+SELECT query_id, doc_id, -min(s) AS score, substr(string_agg(sentence, ' ... ' ORDER BY s, sentence), 1, 60) AS highlight FROM o GROUP BY 1, 2""")
+def grouped_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of a document, best first, distinct, joined and truncated."""
+    d = read(spark, sf_dir, "documents")
+    hits = d.select((F.col("doc_id") % 50).alias("doc_id"), F.col("lang").alias("query_id"), (F.col("doc_id") % 17).cast("double").alias("score"), F.col("source").alias("sentence"))
+    return retrieval.group_by_document(hits, 60)
+
+
+@query()
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sentences before and after each one (DuckDB's patterns have no look-behind)."""
+    return retrieval.sentence_windows(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names to canonical ones: exact, by ratio, by substring (difflib's ratio isn't SQL)."""
+    names = read(spark, sf_dir, "supplier").select(F.lower(F.regexp_replace("s_name", "0{3,}", "00")).alias("name"))
+    return retrieval.resolve_entities(names, read(spark, sf_dir, "supplier").select(F.col("s_name").alias("canonical")))
