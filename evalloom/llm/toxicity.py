@@ -22,6 +22,7 @@ from ._spark import cut, map_batches, slices, texts
 
 ORDERS = (3, 4, 5, 6)
 BINS = 1 << 22
+_BLOCK = 1 << 16
 
 
 def grams(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -97,16 +98,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features:
     # at most max_rows rows of two numbers: the broadcast side is bounded by the parameter
     sample = cut(texts(docs).join(F.broadcast(chosen), "doc_id").repartition(8, "doc_id"))
 
-    def frequencies(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, bins = present(batch.column("text").to_pylist())
-        toxic = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)[text]
-        key, n = np.unique(toxic << 32 | bins, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array([key.tobytes()]), pa.array([n.astype(np.int32).tobytes()])], ["k", "n"])
-
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 2 << 20):
+                text, bins = present(some.column("text").to_pylist())
+                toxic = np.array(some.column("toxic").to_pylist(), dtype=np.int64)[text]
+                key, n = np.unique(toxic << 32 | bins, return_counts=True)
+                block = (key & 0xFFFFFFFF) // _BLOCK
+                order = np.argsort(block, kind="stable")
+                edges = np.searchsorted(block[order], np.arange(BINS // _BLOCK + 1))
+                parts = [order[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(parts))), pa.array([key[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].astype(np.int32).tobytes() for p in parts], pa.binary())], ["block", "k", "n"]
+                )
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, k, n in zip(*(batch.column(c).to_pylist() for c in ("block", "k", "n")), strict=True):
+                one = total.setdefault(block, np.zeros((2, _BLOCK), dtype=np.int32))
+                key = np.frombuffer(k, dtype=np.int64)
+                one[key >> 32, (key & 0xFFFFFFFF) - block * _BLOCK] += np.frombuffer(n, dtype=np.int32)
+        for block, one in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([one.tobytes()])], ["block", "n"])
+
+    # every part of the bins is summed in one task; the driver gets a table of BINS numbers for each class
+    summed = sample.mapInArrow(frequencies, "block long, k binary, n binary").repartition("block").mapInArrow(sums, "block long, n binary")
     counts = np.zeros((2, BINS), dtype=np.int32)
-    for row in map_batches(sample, frequencies, "k binary, n binary").toLocalIterator():
-        key = np.frombuffer(row["k"], dtype=np.int64)
-        counts[key >> 32, key & 0xFFFFFFFF] += np.frombuffer(row["n"], dtype=np.int32)
+    for row in summed.collect():
+        counts[:, row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["n"], dtype=np.int32).reshape(2, -1)
     had = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (had.get(0) and had.get(1)):
         return Model(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32), 0.0)
@@ -125,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features:
         rows = [found[a:b].astype(np.int32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.binary())], ["y", "x"])
 
-    rows = sorted((r["y"], bytes(r["x"])) for r in map_batches(sample, chosen_bins, "y int, x binary").toLocalIterator())
+    rows = sorted((r["y"], bytes(r["x"])) for r in map_batches(sample, chosen_bins, "y int, x binary").collect())
     y = np.array([r[0] for r in rows], dtype=np.float64)
     found = [np.searchsorted(bins, np.frombuffer(r[1], dtype=np.int32)) for r in rows]
     weight = np.where(y == 1, 1 / had[1], 1 / had[0])  # both classes weigh the same
