@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.geometry import Box, intersection, iou, union
+from evalloom.operators.groups import map_groups
 
 COORDS = ("x1", "y1", "x2", "y2")
 
@@ -49,48 +49,43 @@ def limit_frames(boxes: DataFrame, n: int, distinct: bool = False) -> DataFrame:
     return boxes.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
-_MAPPING = "clip_id {}, truth_id long, pred_id long"
+def _best() -> tuple:
+    return (F.desc("iou"), F.desc("truth_id"), F.desc("pred_id"))
 
 
 def greedy_mapping(pairs: DataFrame, threshold: float) -> DataFrame:
-    """One-to-one mapping of tracks by clip: pairs of the clip's frame in falling (iou, truth, pred), greedily.
+    """One-to-one mapping of tracks by clip: pairs in falling (iou, truth, pred), greedily; those under the threshold go before."""
 
-    Sequential within a clip, so grouped; pairs under the threshold are dropped before.
-    """
-    clip = pairs.schema["clip_id"].dataType.simpleString()
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["iou", "truth_id", "pred_id"], ascending=False)
-        taken_t, taken_p, out = set(), set(), []
-        for c, t, p in zip(rows["clip_id"], rows["truth_id"], rows["pred_id"], strict=True):
-            if t not in taken_t and p not in taken_p:
-                taken_t.add(t)
-                taken_p.add(p)
-                out.append((c, t, p))
-        return pd.DataFrame(out, columns=["clip_id", "truth_id", "pred_id"])
+    def assign(key: tuple, rows: list[tuple]) -> list[tuple]:
+        truths, preds, out = set(), set(), []
+        for t, p, _ in rows:
+            if t not in truths and p not in preds:
+                truths.add(t)
+                preds.add(p)
+                out.append((*key, t, p))
+        return out
 
-    return pairs.where(F.col("iou") >= threshold).select("clip_id", "truth_id", "pred_id", "iou").groupBy("clip_id").applyInPandas(assign, _MAPPING.format(clip))
+    clip = pairs.schema["clip_id"].dataType.simpleString()
+    some = pairs.where(F.col("iou") >= threshold).select("clip_id", "truth_id", "pred_id", "iou")
+    return map_groups(some, ["clip_id"], _best(), assign, f"clip_id {clip}, truth_id long, pred_id long")
 
 
 def dynamic_mapping(pairs: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
     """Mapping that grows frame by frame: a true track is mapped in the frame where it first stands, or never."""
-    clip = pairs.schema["clip_id"].dataType.simpleString()
     first = first_frames(truth).select("clip_id", F.col("track_id").alias("truth_id"), F.col("first_frame").alias("frame_id"))
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, frame in rows.sort_values("frame_id").groupby("frame_id"):
-            done = set()
-            frame = frame.sort_values(["iou", "truth_id", "pred_id"], ascending=False)
-            for c, t, p in zip(frame["clip_id"], frame["truth_id"], frame["pred_id"], strict=True):
-                if t not in done and p not in used:
-                    done.add(t)
-                    used.add(p)
-                    out.append((c, t, p))
-        return pd.DataFrame(out, columns=["clip_id", "truth_id", "pred_id"])
+    def assign(key: tuple, rows: list[tuple]) -> list[tuple]:
+        truths, preds, out = set(), set(), []
+        for _, t, p, _ in rows:  # a track's pairs all lie in its first frame
+            if t not in truths and p not in preds:
+                truths.add(t)
+                preds.add(p)
+                out.append((*key, t, p))
+        return out
 
-    some = pairs.where(F.col("iou") >= threshold).join(first, ["clip_id", "frame_id", "truth_id"], "left_semi")
-    return some.select("clip_id", "frame_id", "truth_id", "pred_id", "iou").groupBy("clip_id").applyInPandas(assign, _MAPPING.format(clip))
+    clip = pairs.schema["clip_id"].dataType.simpleString()
+    some = pairs.where(F.col("iou") >= threshold).join(first, ["clip_id", "frame_id", "truth_id"], "left_semi").select("clip_id", "frame_id", "truth_id", "pred_id", "iou")
+    return map_groups(some, ["clip_id"], (F.asc("frame_id"), *_best()), assign, f"clip_id {clip}, truth_id long, pred_id long")
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -124,34 +119,35 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
 
 def optimal_assignment(pairs: DataFrame, limit: float) -> DataFrame:
     """By clip and frame: the assignment of least total (1 - iou), pairs over ``limit`` left out."""
-    clip = pairs.schema["clip_id"].dataType.simpleString()
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        t, p = sorted(rows["truth_id"].unique()), sorted(rows["pred_id"].unique())
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+        t, p = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
         cost = np.full((len(t), len(p)), 1.0)
-        ti, pi = {x: k for k, x in enumerate(t)}, {x: k for k, x in enumerate(p)}
-        for a, b, x in zip(rows["truth_id"], rows["pred_id"], rows["iou"], strict=True):
-            cost[ti[a], pi[b]] = 1 - x
-        out = [(rows["clip_id"].iloc[0], rows["frame_id"].iloc[0], t[i], p[j], 1 - cost[i, j]) for i, j in hungarian(np.minimum(cost, limit + 1e-6)) if cost[i, j] <= limit]
-        return pd.DataFrame(out, columns=["clip_id", "frame_id", "truth_id", "pred_id", "iou"])
+        for a, b, x in rows:
+            cost[t.index(a), p.index(b)] = 1 - x
+        return [(*key, t[i], p[j], float(1 - cost[i, j])) for i, j in hungarian(np.minimum(cost, limit + 1e-6)) if cost[i, j] <= limit]
 
-    return pairs.select("clip_id", "frame_id", "truth_id", "pred_id", "iou").groupBy("clip_id", "frame_id").applyInPandas(solve, f"clip_id {clip}, frame_id int, truth_id long, pred_id long, iou double")
+    types = {c: pairs.schema[c].dataType.simpleString() for c in ("clip_id", "frame_id")}
+    rows = pairs.select("clip_id", "frame_id", "truth_id", "pred_id", "iou")
+    return map_groups(rows, ["clip_id", "frame_id"], ("truth_id", "pred_id"), solve, f"clip_id {types['clip_id']}, frame_id {types['frame_id']}, truth_id long, pred_id long, iou double")
 
 
 def ordered_matches(pairs: DataFrame, threshold: float) -> DataFrame:
     """First come, first served: each true box in order takes its best free prediction at the threshold or above."""
-    clip = pairs.schema["clip_id"].dataType.simpleString()
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for t, mine in rows.sort_values(["truth_id", "iou", "pred_id"], ascending=[True, False, True]).groupby("truth_id", sort=True):
-            free = mine[~mine["pred_id"].isin(used)]
-            if len(free) and free["iou"].iloc[0] >= threshold:
-                used.add(free["pred_id"].iloc[0])
-                out.append((rows["clip_id"].iloc[0], t, free["pred_id"].iloc[0], free["iou"].iloc[0]))
-        return pd.DataFrame(out, columns=["clip_id", "truth_id", "pred_id", "iou"])
+    def take(key: tuple, rows: list[tuple]) -> list[tuple]:
+        truths, preds, out = set(), set(), []
+        for t, p, x in rows:
+            if t not in truths and p not in preds:
+                truths.add(t)  # its best free one; below the threshold it stays without
+                if x >= threshold:
+                    preds.add(p)
+                    out.append((*key, t, p, x))
+        return out
 
-    return pairs.select("clip_id", "truth_id", "pred_id", "iou").groupBy("clip_id").applyInPandas(take, f"clip_id {clip}, truth_id long, pred_id long, iou double")
+    clip = pairs.schema["clip_id"].dataType.simpleString()
+    rows = pairs.select("clip_id", "truth_id", "pred_id", "iou")
+    return map_groups(rows, ["clip_id"], ("truth_id", F.desc("iou"), "pred_id"), take, f"clip_id {clip}, truth_id long, pred_id long, iou double")
 
 
 def aligned(pred: DataFrame, truth: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -193,20 +189,23 @@ def last_frame_miou(matches: DataFrame, truth_last: DataFrame) -> DataFrame:
 
 def suppress(boxes: DataFrame, group: Sequence[str], threshold: float, score: str = "score") -> DataFrame:
     """Non-maximum suppression within each group (image and class)."""
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, "track_id"], ascending=[False, True])
-        b, kept = rows[list(COORDS)].to_numpy(), []
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        for k in range(len(b)):
-            w = np.minimum(b[k, 2], b[kept, 2]) - np.maximum(b[k, 0], b[kept, 0])
-            h = np.minimum(b[k, 3], b[kept, 3]) - np.maximum(b[k, 1], b[kept, 1])
-            inter = np.maximum(w, 0) * np.maximum(h, 0)
-            if not (inter > threshold * (area[k] + area[kept] - inter)).any():
-                kept.append(k)
-        return rows.iloc[kept]
-
-    return boxes.groupBy(*group).applyInPandas(keep, boxes.schema)
+    names = [*group, *(c for c in boxes.columns if c not in group)]
+    at = [names.index(c) - len(group) for c in COORDS]
+
+    def keep(key: tuple, rows: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for r in rows:
+            x1, y1, x2, y2 = (r[k] for k in at)
+            for o in kept:
+                a1, b1, a2, b2 = (o[k] for k in at)
+                inter = max(0.0, min(x2, a2) - max(x1, a1)) * max(0.0, min(y2, b2) - max(y1, b1))
+                if inter > threshold * ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter):
+                    break
+            else:
+                kept.append(r)
+        return [(*key, *r) for r in kept]
+
+    return map_groups(boxes.select(*names), group, (F.desc(score), "track_id"), keep, boxes.select(*names).schema)
 
 
 def join_tracks(a: DataFrame, b: DataFrame) -> DataFrame:

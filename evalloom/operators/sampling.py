@@ -135,8 +135,10 @@ def sliding_meter(rows: DataFrame, key: str, order: str, value: str, size: int =
     by = Window.partitionBy(key).orderBy(order)
     last, all_ = by.rowsBetween(-(size - 1), 0), by.rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
+    held = F.sort_array(F.collect_list(v).over(last))  # at most ``size`` values
+    median = (F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")) + F.get(held, F.floor(F.size(held) / 2).cast("int"))) / 2
     return rows.select(
-        key, order, F.median(v).over(last).alias("median"), F.avg(v).over(last).alias("avg"), v.alias("latest"), F.avg(v).over(all_).alias("global_avg"), F.sum(v).over(all_).alias("total")
+        key, order, median.alias("median"), F.avg(v).over(last).alias("avg"), v.alias("latest"), F.avg(v).over(all_).alias("global_avg"), F.sum(v).over(all_).alias("total")
     )
 
 
