@@ -16,7 +16,7 @@ def or_null(c: Column) -> Column:
 def numbered_answers(text: Column, most: int = 5) -> Column:
     """Bodies after ``Answer i:`` up to the next one, trimmed, the first ``most``."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)Answer\s*\d+\s*:(.*?)(?=Answer\s*\d+\s*:|\z)"), F.lit(1))
-    return F.slice(F.filter(F.transform(found, F.trim), lambda x: x != ""), 1, most)
+    return F.slice(F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), 1, most)
 
 
 def option_letter(text: Column, last: bool = False, letters: str = "A-E") -> Column:
