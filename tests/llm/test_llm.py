@@ -340,3 +340,12 @@ def test_pipeline(spark, docs, labelled, tmp_path):
     assert not ids & {1000, 2001, 2002, 2003, 2004}
     assert len([k for k in range(400) if k % 4 == 0 and k in ids]) < 10
     assert len([k for k in range(400) if k % 4 and k in ids]) > 285
+
+
+def test_sql_agrees(spark):
+    import compare
+
+    from evalloom.llm import queries
+
+    for name, sql in queries.oracle_sql().items():
+        assert not compare.difference(spark, name, queries.queries()[name], sql, "/root/testdata/sf0.001")
