@@ -145,3 +145,46 @@ def test_streaming_matches_batch(spark, tmp_path):
     q.awaitTermination(60)
     key = lambda r: (r["start"], r["k"])
     assert sorted(spark.table("tumbled").collect(), key=key) == sorted(events.tumbling(rows, "ts", "1 hour", "k").collect(), key=key)
+
+
+def test_registry_and_steps(spark):
+    from evalloom.plans.registry import Registry, Step, close_schema
+
+    r = Registry("task")
+    r.add("retrieval", 1, "t3")
+    r.add("captions", 2)
+    assert r.pick("all") == ["captions", "retrieval"]
+    assert r.pick("t3, captions") == ["retrieval", "captions"]
+    with pytest.raises(KeyError):
+        r.resolve("none")
+    both = Step(lambda df: df.where("id > 2")) >> (lambda df: df.where("id < 5"))
+    assert [x["id"] for x in both(spark.range(10)).collect()] == [3, 4]
+    closed = close_schema({"type": "object", "properties": {"b": {"type": "object", "properties": {}}, "a": {"type": "string"}}})
+    assert closed["required"] == ["a", "b"]
+    assert closed["properties"]["b"]["additionalProperties"] is False
+
+
+def test_datasets(spark):
+    from evalloom.operators import datasets
+
+    items = spark.createDataFrame([("v1", ["a", "b"], [1, 2], [2, 3]), ("v2", ["c"], None, [4])], "v string, caps array<string>, neg array<int>, hneg array<int>")
+    assert [(r["text_idx"], r["item_idx"], r["text"]) for r in datasets.text_map(items, "v", "caps").orderBy("text_idx").collect()] == [(0, 0, "a"), (1, 0, "b"), (2, 1, "c")]
+    assert {r["v"]: r["negatives"] for r in datasets.negatives(items, "v", "neg", "hneg").collect()} == {"v1": [1, 2, 3], "v2": [4]}
+    nested = spark.createDataFrame([((1, ("x",)),)], "a struct<b:int,c:struct<d:string>>")
+    assert datasets.flattened(nested).columns == ["a/b", "a/c/d"]
+    assert datasets.prompts(items, "v", ["see {}", "no {}"]).count() == 4
+
+
+def test_scores_of_judges(spark):
+    said = spark.createDataFrame([("Overall Score: 3/4",), ("Supported x Contradicted Supported",)], "c string").select(text.score_ratio(F.col("c")).alias("s"))
+    assert [(r["s"]["got"], r["s"]["total"]) for r in said.collect()] == [(3, 4), (2, 3)]
+    assert one(spark, text.json_field(F.col("c"), "k"), c='so {"k": "v"} it is') == "v"
+    assert one(spark, text.answer_body(F.col("c")), c="a <answer> b\nc </answer>") == "b\nc"
+    assert one(spark, text.without_thinking(F.col("c")), c="<think>x</think> y") == "y"
+    assert one(spark, text.options_in(F.col("c")), c="Pick: B. two (A) one C") == ["A", "B"]
+
+
+def test_format_table():
+    from evalloom.operators.reports import format_table
+
+    assert format_table(["a", "bb"], [["x", 1.5], ["yy", None]]) == "a     bb\n--  ----\nx   1.50\nyy     -"
