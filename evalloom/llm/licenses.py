@@ -3,7 +3,7 @@
 Texts and templates become lower-cased words of letters and digits and shingles of five words (a template of fewer
 words: one shingle of all of them). Templates are put in classes by their number of shingles: ``c`` for more than c/2
 and up to c. For each class, overlapping windows of 2c shingles, c apart, run over a text, so that some window holds
-the whole of any occurrence. A window that holds 0.8 of a template's shingles then has a Jaccard similarity of 0.19 or
+the whole of any occurrence (windows without any shingle of a template are left out: they are similar to none). A window that holds 0.8 of a template's shingles then has a Jaccard similarity of 0.19 or
 more with it, and one of ``BANDS`` MinHash values agrees with a chance of 1 - 0.81 ** BANDS (0.999 for 32) or more.
 Such windows retrieve their templates, and the exact share of the template's shingles that the window holds decides.
 
@@ -75,8 +75,10 @@ def shingled(words: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
-def least_hash(shingles: Column, band: int) -> Column:
-    return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(band))))
+def band_keys(shingles: Column) -> Column:
+    """For each band: a hash of the band and the least of the shingles' hashes in it."""
+    bands = F.sequence(F.lit(1), F.lit(BANDS))
+    return F.transform(bands, lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, b)))))
 
 
 def classes(templates: dict[str, str]) -> dict[tuple[int, int], list[str]]:
@@ -116,20 +118,17 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> D
 def _class_matches(spark: SparkSession, candidates: DataFrame, templates: dict[str, str], size: int, width: int) -> DataFrame:
     rows = spark.createDataFrame([(k, words_of(t)) for k, t in templates.items()], "license_id string, words array<string>")
     rows = rows.select("license_id", F.array_distinct(shingled(F.col("words"), size)).alias("template"))
-    bands = F.array(*(least_hash(F.col("template"), b) for b in range(BANDS)))
-    keys = rows.select("license_id", "template", F.posexplode(bands).alias("band", "key"))
-    values: dict[int, list[int]] = defaultdict(list)
-    for r in keys.select("band", "key").collect():
-        values[r["band"]].append(r["key"])
+    keys = rows.select("license_id", "template", F.explode(band_keys(F.col("template"))).alias("key"))
+    values = sorted({r["key"] for r in keys.select("key").collect()})
     every = candidates.select("doc_id", shingled(F.col("words"), size).alias("shingles")).where(F.size("shingles") > 0)
-    starts = F.sequence(F.lit(1), F.size("shingles"), F.lit(width))
-    windows = every.select("doc_id", F.explode(F.transform(starts, lambda i: F.array_distinct(F.slice("shingles", i, 2 * width)))).alias("window"))
-    hit = None
-    for b in range(BANDS):
-        one = least_hash(F.col("window"), b).isin(values[b])
-        hit = one if hit is None else hit | one
-    hits = windows.where(hit)
-    banded = hits.select("doc_id", "window", F.posexplode(F.array(*(least_hash(F.col("window"), b) for b in range(BANDS)))).alias("band", "key"))
-    retrieved = banded.join(F.broadcast(keys), ["band", "key"]).select("doc_id", "window", "license_id", "template")
+    # A window without any shingle of the templates has similarity 0 with all of them: only others are formed.
+    own = sorted({r["x"] for r in rows.select(F.explode("template").alias("x")).collect()})
+    places = F.array_compact(F.transform("shingles", lambda x, i: F.when(x.isin(own), i)))
+    every = every.withColumn("places", places).where(F.size("places") > 0)
+    numbers = F.array_distinct(F.flatten(F.transform("places", lambda i: F.array(F.floor(i / width), F.floor(i / width) - 1))))
+    windows = every.select("doc_id", "shingles", F.explode(F.filter(numbers, lambda k: k >= 0)).alias("k"))
+    windows = windows.select("doc_id", F.array_distinct(F.slice("shingles", (F.col("k") * width + 1).cast("int"), 2 * width)).alias("window"))
+    hits = windows.withColumn("keys", band_keys(F.col("window"))).where(F.exists("keys", lambda k: k.isin(values)))
+    retrieved = hits.select("doc_id", "window", F.explode("keys").alias("key")).join(F.broadcast(keys), "key").select("doc_id", "window", "license_id", "template")
     share = F.size(F.array_intersect("window", "template")) / F.size("template")
     return retrieved.select("doc_id", "license_id", share.alias("containment")).where(F.col("containment") >= SHARE)
