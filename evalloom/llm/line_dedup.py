@@ -23,20 +23,24 @@ SMALL = 200_000
 
 
 def masked(line: Column) -> Column:
-    """The line with each token that holds a digit replaced by one sign, and single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, r"(?<!\S)[^\s\d]*+\d\S*+", "<*>"), r"\s+", " "))
+    """The line with each token that holds a digit replaced by one sign."""
+    variable = F.regexp_replace(line, r"(?<!\S)[^\s\d]*+\d\S*+", "<*>")
+    return F.btrim(F.when(line.rlike("[0-9]"), variable).otherwise(line), F.lit(" \t\r\f\x0b"))
 
 
-def lines(docs: DataFrame, depth: int, tokens: bool = False) -> DataFrame:
-    """``row`` and ``family`` of the document, ``pos``, ``leaf`` and ``template`` of each line that may recur."""
+def tokens_of(masked_line: Column) -> Column:
+    return F.split(masked_line, r"\s+")
+
+
+def lines(docs: DataFrame, depth: int) -> DataFrame:
+    """``row`` and ``family`` of the document, ``pos``, ``leaf``, ``template`` and the masked ``line`` of each line that may recur."""
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rows = docs.select(row_key(docs).alias("row"), split.alias("lines"))
     rows = rows.select("row", F.array_min(F.transform("lines", lambda x: F.xxhash64(x))).alias("family"), "lines")
     each = rows.select("row", "family", F.posexplode("lines").alias("pos", "line"))
-    each = each.select("row", "family", "pos", F.split(masked(F.col("line")), " ").alias("tokens"))
-    each = each.where(F.size("tokens") > depth - 1)
-    out = ["row", "family", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("template")]
-    return each.select(*out, *(["tokens"] if tokens else []))
+    each = each.select("row", "family", "pos", masked(F.col("line")).alias("line")).withColumn("tokens", tokens_of(F.col("line")))
+    each = each.where(F.size("tokens") >= depth)
+    return each.select("row", "family", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("template"), "line")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -51,7 +55,8 @@ def recurring(where: DataFrame, key: str, least: int, spread: float) -> DataFram
 
 def dropped_lines(docs: DataFrame, least: int, depth: int, similarity: float, spread: float) -> DataFrame:
     """``row, pos`` of the lines of recurring templates."""
-    every = lines(docs, depth)
+    # One pass over the texts; later steps read only the columns that they need.
+    every = cut(lines(docs, depth))
     seen = cut(every.groupBy("leaf", "template", "family").agg(F.count(F.lit(1)).alias("n")))
     templates = cut(recurring(seen, "template", least, spread))
     # Leaves that recur although (beside such templates) no template of theirs does.
@@ -61,7 +66,8 @@ def dropped_lines(docs: DataFrame, least: int, depth: int, similarity: float, sp
     if not count:
         return plain
     small = F.broadcast(open_leaves) if count <= SMALL else open_leaves
-    within = cut(lines(docs, depth, tokens=True).join(small, "leaf").join(templates, "template", "left_anti"))
+    within = every.join(small, "leaf").join(templates, "template", "left_anti").withColumn("tokens", tokens_of(F.col("line")))
+    within = cut(within.select("leaf", "row", "pos", "family", "tokens"))
     places = within.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     constant = places.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     pattern = constant.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("pattern"))
