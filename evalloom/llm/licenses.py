@@ -107,7 +107,10 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> D
     schema = "doc_id long, license_id string, containment double"
     if some is None:
         return spark.createDataFrame([], schema)
-    candidates = cut(texts(docs).where(some).select("doc_id", words_column(F.col("text")).alias("words")))
+    sizes = sorted({size for size, _ in classes(templates)})
+    words = cut(texts(docs).where(some).select("doc_id", words_column(F.col("text")).alias("words")))
+    # written, so that the classes' plans read shingles and don't each compute them several times
+    candidates = cut(words.select("doc_id", *(shingled(F.col("words"), k).alias(f"shingles{k}") for k in sizes)))
     found = None
     for (size, width), names in classes(templates).items():
         one = _class_matches(spark, candidates, {k: templates[k] for k in names}, size, width)
@@ -120,7 +123,7 @@ def _class_matches(spark: SparkSession, candidates: DataFrame, templates: dict[s
     rows = rows.select("license_id", F.array_distinct(shingled(F.col("words"), size)).alias("template"))
     keys = rows.select("license_id", "template", F.explode(band_keys(F.col("template"))).alias("key"))
     values = sorted({r["key"] for r in keys.select("key").collect()})
-    every = candidates.select("doc_id", shingled(F.col("words"), size).alias("shingles")).where(F.size("shingles") > 0)
+    every = candidates.select("doc_id", F.col(f"shingles{size}").alias("shingles")).where(F.size("shingles") > 0)
     # A window without any shingle of the templates has similarity 0 with all of them: only others are formed.
     own = sorted({r["x"] for r in rows.select(F.explode("template").alias("x")).collect()})
     places = F.array_compact(F.transform("shingles", lambda x, i: F.when(x.isin(own), i)))
