@@ -5,10 +5,11 @@ A line's tokens that hold a digit are variable fields. The tree has a fixed dept
 lines don't agree is generalised: at each place the leaf's most frequent token counts as constant, and lines that
 agree with at least ``similarity`` of these share one template.
 
-A document's family is the least hash of its lines: copies and near copies mostly share it, other documents that share
-a line mostly don't. A template recurs if its lines stand in documents of at least ``least`` families, and at least
-``spread`` times as many families as lines. So lines that only copies of one document share are left to the
-near-duplicate operators. Lines of recurring templates are dropped from all documents.
+Documents that share more than half of their text (distinct non-blank lines, weighted by length) are one family, and so
+are those that such links connect: copies and near copies, but not documents that only share some lines. A template
+recurs if its lines stand in documents of at least ``least`` families, however many lines or copies there are. So lines
+that only copies of one document share are left to the near-duplicate operators. Lines of recurring templates are
+dropped from all documents.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._graph import components
 from ._spark import cut
 
 #: Rows of a leaf table (8 bytes each) up to which it is broadcast; beyond it is joined by a shuffle.
 SMALL = 200_000
+#: Least hashes of a document's lines by which alike documents meet; one that shares half of the lines misses all with 2**-KEYS at most.
+KEYS = 8
+LENGTH = (1 << 20) - 1
 
 
 def masked(line: Column) -> Column:
@@ -33,52 +38,88 @@ def tokens_of(masked_line: Column) -> Column:
 
 
 def lines(docs: DataFrame, depth: int) -> DataFrame:
-    """``row`` and ``family`` of the document, ``pos``, ``leaf``, ``template`` and the masked ``line`` of each line that may recur."""
+    """``row`` of the document, ``family`` (equal for equal sets of lines), ``pos``, ``leaf`` (null in lines that can't recur), ``template`` and the masked ``line`` of each line that isn't blank.
+
+    A document's first such line also has the ``set`` of its lines: 44 bits of hash and 20 of length each.
+    """
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rows = docs.select(row_key(docs).alias("row"), split.alias("lines"))
-    rows = rows.select("row", F.array_min(F.transform("lines", lambda x: F.xxhash64(x))).alias("family"), "lines")
-    each = rows.select("row", "family", F.posexplode("lines").alias("pos", "line"))
-    each = each.select("row", "family", "pos", masked(F.col("line")).alias("line")).withColumn("tokens", tokens_of(F.col("line")))
-    each = each.where(F.size("tokens") >= depth)
-    return each.select("row", "family", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("template"), "line")
+    marks = F.transform("lines", lambda x: F.when(~blank(x), F.xxhash64(x).bitwiseAND(~LENGTH).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)))))
+    rows = rows.select("row", marks.alias("marks"), "lines")
+    rows = rows.select("row", F.sort_array(F.array_distinct(F.array_compact("marks"))).alias("set"), F.array_position(F.transform("marks", lambda x: x.isNotNull()), True).alias("head"), "lines")
+    each = rows.select("row", F.xxhash64("set").alias("family"), "set", "head", F.posexplode("lines").alias("pos", "line"))
+    each = each.select("row", "family", F.when(F.col("pos") + 1 == F.col("head"), F.col("set")).alias("set"), "pos", masked(F.col("line")).alias("line")).where("line <> ''").withColumn("tokens", tokens_of(F.col("line")))
+    leaf = F.when(F.size("tokens") >= depth, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+    return each.select("row", "family", "set", "pos", leaf.alias("leaf"), F.xxhash64("tokens").alias("template"), "line")
+
+
+def blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\f\x0b")) == ""
+
+
+def related(every: DataFrame) -> DataFrame:
+    """``family, root`` of the families that links join with others; ``root`` stands for all that are joined."""
+    sets = cut(every.where("set is not null").groupBy("family").agg(F.any_value("set").alias("set")))
+
+    def least_hash(k: int) -> Column:
+        return F.array_min(F.transform("set", lambda x: F.xxhash64(x, F.lit(k))))
+
+    least = F.array(*map(least_hash, range(KEYS)))
+    keys = cut(sets.select("family", F.explode(F.array_distinct(least)).alias("key")))
+    # Each is compared with the first one that has the same key, so there are no more pairs than keys.
+    first = keys.groupBy("key").agg(F.min("family").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "a")
+    pairs = keys.join(first, "key").where("family <> a").select("a", F.col("family").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("family").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("family").alias("b"), F.col("set").alias("y")), "b")
+
+    def length(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(LENGTH))
+
+    both = length(F.array_intersect("x", "y"))
+    links = cut(pairs.where(2 * both > length(F.col("x")) + length(F.col("y")) - both).select("a", "b"))
+    return cut(components(links).select(F.col("id").alias("family"), F.col("component").alias("root")))
+
+
+def rooted(some: DataFrame, roots: DataFrame) -> DataFrame:
+    return some.join(roots, "family", "left").withColumn("family", F.coalesce("root", "family")).drop("root")
 
 
 def row_key(docs: DataFrame) -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
-def recurring(where: DataFrame, key: str, least: int, spread: float) -> DataFrame:
-    """Keys in at least ``least`` families and ``spread`` times as many families as lines (``n``)."""
-    families = where.groupBy(key, "family").agg(F.sum("n").alias("n"))
-    return families.groupBy(key).agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("n")).where((F.col("f") >= least) & (F.col("f") >= spread * F.col("n"))).select(key)
+def recurring(where: DataFrame, key: str, least: int) -> DataFrame:
+    """Keys in at least ``least`` families."""
+    return where.select(key, "family").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least).select(key)
 
 
-def dropped_lines(docs: DataFrame, least: int, depth: int, similarity: float, spread: float) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int, depth: int, similarity: float) -> DataFrame:
     """``row, pos`` of the lines of recurring templates."""
     # One pass over the texts; later steps read only the columns that they need.
-    every = cut(lines(docs, depth))
-    seen = cut(every.groupBy("leaf", "template", "family").agg(F.count(F.lit(1)).alias("n")))
-    templates = cut(recurring(seen, "template", least, spread))
+    table = cut(lines(docs, depth))
+    roots = related(table)
+    every = table.where("leaf is not null").drop("set")
+    seen = cut(rooted(every.select("leaf", "template", "family").distinct(), roots))
+    templates = cut(recurring(seen, "template", least))
     # Leaves that recur although (beside such templates) no template of theirs does.
-    open_leaves = cut(recurring(seen.join(templates, "template", "left_anti"), "leaf", least, spread))
+    open_leaves = cut(recurring(seen.join(templates, "template", "left_anti"), "leaf", least))
     plain = every.join(templates, "template", "left_semi").select("row", "pos")
     count = open_leaves.count()
     if not count:
         return plain
     small = F.broadcast(open_leaves) if count <= SMALL else open_leaves
     within = every.join(small, "leaf").join(templates, "template", "left_anti").withColumn("tokens", tokens_of(F.col("line")))
-    within = cut(within.select("leaf", "row", "pos", "family", "tokens"))
+    within = cut(rooted(within.select("leaf", "row", "pos", "family", "tokens"), roots))
     places = within.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     constant = places.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     pattern = constant.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("pattern"))
     agree = F.aggregate(F.zip_with("tokens", "pattern", lambda a, b: (a.eqNullSafe(b) & (a != "<*>")).cast("int")), F.lit(0), lambda s, x: s + x)
-    alike = within.join(pattern, "leaf").where(agree >= F.ceil(F.size("pattern") * similarity)).select("leaf", "row", "pos", "family", F.lit(1).alias("n"))
+    alike = within.join(pattern, "leaf").where(agree >= F.ceil(F.size("pattern") * similarity)).select("leaf", "row", "pos", "family")
     alike = cut(alike)
-    general = alike.join(recurring(alike, "leaf", least, spread), "leaf", "left_semi").select("row", "pos")
+    general = alike.join(recurring(alike, "leaf", least), "leaf", "left_semi").select("row", "pos")
     return plain.unionByName(general)
 
 
-def drop_recurring_lines(docs: DataFrame, least: int = 6, depth: int = 3, similarity: float = 0.7, spread: float = 0.25) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least: int = 6, depth: int = 3, similarity: float = 0.7) -> DataFrame:
     """The rows of ``docs`` (``doc_id``, ``text`` and any others) with ``text`` less its recurring lines, ``n_lines`` and ``n_dropped``.
 
     Null texts stay null, empty ones empty (0 and 1 lines, none dropped). Lines of fewer than ``depth`` tokens stay, as
@@ -87,7 +128,7 @@ def drop_recurring_lines(docs: DataFrame, least: int = 6, depth: int = 3, simila
     empty one.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = dropped_lines(docs, least, depth, similarity, spread).groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    gone = dropped_lines(docs, least, depth, similarity).groupBy("row").agg(F.collect_set("pos").alias("gone"))
     keyed = docs.select(*columns, row_key(docs).alias("_row")).join(gone.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left")
     split = F.split("text", "\n", -1)
     n = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))

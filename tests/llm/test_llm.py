@@ -294,6 +294,23 @@ def test_line_dedup(spark, docs, empty):
     assert drop_recurring_lines(docs).count() == docs.count()
 
 
+def test_line_dedup_in_skewed_input(spark):
+    rng = random.Random(14)
+    passage = sentence(rng, 12)
+    base = [sentence(rng, 10) for _ in range(10)]
+
+    def near(k: int) -> str:  # one line of ten is changed
+        return "\n".join([*base[: k % 10], sentence(rng, 10), *base[k % 10 + 1 :], passage])
+
+    hot = [(k, near(k)) for k in range(300)]
+    others = [(1000 + k, f"{sentence(rng, 9)}\n{passage}\n{sentence(rng, 9)}") for k in range(12)]
+    logs = [(2000 + k, "\n".join(f"worker {rng.random()} took job {rng.random()} from queue" for _ in range(100))) for k in range(20)]
+    short = [(3000 + k, f"{sentence(rng, 5)}\nread more about our offers") for k in range(8)]
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_recurring_lines(spark.createDataFrame([*hot, *others, *logs, *short], "doc_id long, text string")).collect()}
+    assert all(got[k] == 1 for k, _ in [*hot, *others, *short])  # the passage only: near copies keep what only they share
+    assert all(got[k] == 100 for k, _ in logs)
+
+
 @pytest.mark.parametrize("open_windows", [1, 8])
 def test_packing(docs, empty, rows, open_windows):
     tokenizer = __import__("tokenizers").Tokenizer.from_file(vocabulary_file())
