@@ -9,12 +9,13 @@
    their full sets.
 4. In buckets whose members don't yet all lie in one component, pairs across components are compared as well, by
    their signatures and within the bucket's task, block by block; only survivors are handed on. Buckets of more than
-   ``WHOLE`` members are first split by further bands (which a similar pair shares almost surely) until they are small,
-   at most ``DEPTH`` times; what is then still large is compared whole.
+   ``WHOLE`` members are dealt into parts of about that size, and each part is compared with itself and with each other
+   part in tasks of their own, so that no pair is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +28,13 @@ from ._graph import compare_pairs, components
 from ._spark import cut, map_batches, texts
 from ._words import Words, mix
 
-BANDS, ROWS = 21, 6
+ROWS = 6
+#: Chance at most that a pair at the threshold shares no band.
+UNMET = 5e-5
 #: Values of a signature: those of the bands, and more that only sharpen the estimate.
 SIGNATURE = 256
 STEP = 16
 WHOLE = 1000
-DEPTH = 3
 _BITS = np.uint64(48)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -74,6 +76,15 @@ def signatures(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """Number of bands and their rows: as many rows (at most ``ROWS``) as the signature has values for at ``UNMET``."""
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(UNMET) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+        if bands * rows <= SIGNATURE:
+            return bands, rows
+    raise ValueError(f"a threshold of {threshold} needs longer signatures")
+
+
 def least_matches(threshold: float, miss: float, step: int = STEP, rows: int = SIGNATURE) -> list[tuple[int, int]]:
     """(rows compared, matches below which a pair is dropped): the posterior chance of the threshold is below ``miss``."""
     grid = (np.arange(20_000) + 0.5) / 20_000
@@ -111,13 +122,14 @@ def bayes(threshold: float, miss: float):
 def across(threshold: float, miss: float):
     """Pairs of one bucket's rows that lie in different components and survive the pruning.
 
-    Rows: ``key, path, id, component, sig``; path: the bands that led to the bucket. A pair that shares several bands
-    meets in several buckets; it is handed on from the one whose path is the first bands that it shares.
+    Rows: ``key, band, id, component, part, sig``; if there are rows of two parts, only pairs across them are compared.
+    A pair that shares several bands meets in several buckets; it is handed on from the bucket of the first of them.
     """
-    rule, block = least_matches(threshold, miss), 256
+    rule, block, (bands, rows_of) = least_matches(threshold, miss), 256, banding(threshold)
 
-    def survivors(path: np.ndarray, ids: np.ndarray, component: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def survivors(band: int, ids: np.ndarray, component: np.ndarray, part: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
+        two = part.min() != part.max()
         for at in range(0, len(ids), block):
             for to in range(at, len(ids), block):
                 i, j = np.nonzero((ids[at : at + block, None] < ids[None, to : to + block]) & (component[at : at + block, None] != component[None, to : to + block]))
@@ -126,32 +138,35 @@ def across(threshold: float, miss: float):
                     i, j = np.concatenate((i + at, m + to)), np.concatenate((j + to, k + at))
                 else:
                     i, j = i + at, j + to
+                if two:
+                    apart = part[i] != part[j]
+                    i, j = i[apart], j[apart]
                 matches, done = np.zeros(len(i), dtype=np.int64), 0
                 for n, least in rule:
                     matches = matches + (sig[i, done:n] == sig[j, done:n]).sum(1)
                     keep = matches >= least
                     i, j, matches, done = i[keep], j[keep], matches[keep], n
-                shared = (sig[i, : BANDS * ROWS] == sig[j, : BANDS * ROWS]).reshape(len(i), BANDS, ROWS).all(2)
-                own = shared[:, path].all(1) & (shared[:, : path[-1] + 1].sum(1) == len(path))
+                shared = (sig[i, : bands * rows_of] == sig[j, : bands * rows_of]).reshape(len(i), bands, rows_of).all(2)
+                own = shared[:, band] & ~shared[:, :band].any(1)
                 i, j = i[own], j[own]
                 left.append(ids[i])
                 right.append(ids[j])
         return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, path, rows = None, None, []
+        key, band, rows = None, None, []
 
         def close() -> pa.RecordBatch:
-            ids, component, sig = zip(*rows, strict=True)
-            a, b = survivors(np.array(path), np.array(ids), np.array(component), np.frombuffer(b"".join(sig), dtype=np.uint16).reshape(len(ids), -1))
+            ids, component, part, sig = zip(*rows, strict=True)
+            a, b = survivors(band, np.array(ids), np.array(component), np.array(part), np.frombuffer(b"".join(sig), dtype=np.uint16).reshape(len(ids), -1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            for k, bands, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "path", "id", "component", "sig")), strict=True):
+            for k, of, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "id", "component", "part", "sig")), strict=True):
                 if k != key:
                     if len(rows) > 1:
                         yield close()
-                    key, path, rows = k, bands, []
+                    key, band, rows = k, of, []
                 rows.append(row)
         if len(rows) > 1:
             yield close()
@@ -182,9 +197,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``size``-word shingles.
     Null, empty and blank texts have an empty set and link with nothing. Repeated rows and equal texts are one class
     and get the same component. An empty table gives an empty one. A pair at the threshold is missed with a chance of
-    about 5e-5 by the bands and ``miss`` by the pruning; no pair below it is linked.
+    at most ``UNMET`` by the bands and about ``miss`` by the pruning, whatever the size of its buckets; no pair below it
+    is linked.
     """
     source = texts(docs)
+    n_bands, n_rows = banding(percent / 100)
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         shingles, first = shingle_sets(batch.column("text").to_pylist(), size)
@@ -197,11 +214,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
         if len(starts):
             marks[0][full] = np.add.reduceat(spread, starts).view(np.int64)
             marks[1][full] = np.add.reduceat(mix(spread), starts).view(np.int64)
-        bands = np.zeros((BANDS, sig.shape[1]), dtype=np.uint64)
-        for k in range(BANDS):
+        bands = np.zeros((n_bands, sig.shape[1]), dtype=np.uint64)
+        for k in range(n_bands):
             h = np.full(sig.shape[1], k + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[k * ROWS + r])
+            for r in range(n_rows):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[k * n_rows + r])
             bands[k] = h
         low = np.ascontiguousarray((sig & np.uint32(0xFFFF)).astype(np.uint16).T)
         column = iter(range(sig.shape[1]))
@@ -245,20 +262,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
     found = components(edges)
 
     # Buckets that still hold several components.
-    rest = members.join(found, "id", "left").select("key", F.array("band").alias("path"), "id", F.coalesce("component", "id").alias("component"))
-    small, depth = None, 0
-    while True:
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "c")
-        rest = cut(rest.join(sizes, "key"))
-        whole = (rest if depth == DEPTH else rest.where(F.col("c") <= WHOLE)).select("key", "path", "id", "component")
-        small = whole if small is None else small.unionByName(whole)
-        if depth == DEPTH or not rest.where(F.col("c") > WHOLE).limit(1).count():
-            break
-        more = rest.where(F.col("c") > WHOLE).join(reps.select("id", "bands"), "id")
-        more = more.select("key", "path", "id", "component", F.posexplode("bands").alias("band", "value")).where(F.col("band") > F.element_at("path", -1))
-        rest, depth = more.select(F.xxhash64("key", "value").alias("key"), F.array_append("path", F.col("band")).alias("path"), "id", "component"), depth + 1
-    dealt = small.join(reps.select("id", "sig"), "id").repartition("key").sortWithinPartitions("key")
-    pairs = cut(dealt.select("key", "path", "id", "component", "sig").mapInArrow(across(percent / 100, miss), "a long, b long").distinct())
+    rest = members.join(found, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    parts = F.ceil(F.col("c") / WHOLE).cast("int")
+    rest = rest.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # A row goes to its part's task with each part, itself included.
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "band", "id", "component", "part")
+    dealt = rest.join(reps.select("id", "sig"), "id").repartition("key").sortWithinPartitions("key")
+    pairs = cut(dealt.select("key", "band", "id", "component", "part", "sig").mapInArrow(across(percent / 100, miss), "a long, b long").distinct())
     if pairs.limit(1).count():
         new = verified(pairs)
         if new.limit(1).count():

@@ -278,6 +278,28 @@ def test_toxicity(labelled):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.85, 0.95])
+def test_bands_meet_pairs_at_the_threshold(threshold):
+    bands, rows = near_dup.banding(threshold)
+    assert bands * rows <= near_dup.SIGNATURE and (1 - threshold**rows) ** bands <= 5e-5
+
+
+def test_large_buckets_lose_no_pair(spark):
+    # All share one band; of each two neighbours the other values agree, no other band does.
+    rng = np.random.default_rng(3)
+    n, (bands, rows) = 40, near_dup.banding(0.85)
+    sig = rng.integers(0, 1 << 16, (n, near_dup.SIGNATURE), dtype=np.uint16)
+    sig[1::2] = sig[::2]
+    sig[:, :rows] = 7
+    for k in range(1, bands):
+        sig[1::2, k * rows] += 1
+    data = [(1, 0, i, i, i % 4, sig[i].tobytes()) for i in range(n)]
+    cells = [(min(p, q) * 4 + max(p, q), *r[1:]) for r in data for p in [r[4]] for q in range(4)]
+    df = spark.createDataFrame(cells, "key long, band int, id long, component long, part int, sig binary").repartition("key").sortWithinPartitions("key")
+    got = sorted((r["a"], r["b"]) for r in df.mapInArrow(near_dup.across(0.85, 1e-4), "a long, b long").collect())
+    assert got == [(i, i + 1) for i in range(0, n, 2)]
+
+
 def test_line_dedup(spark, docs, empty):
     rng = random.Random(12)
     rows = [(k, "\n".join([sentence(rng, 12), f"posted on day {k} by user{k} here", sentence(rng, 12), "subscribe to our letter today", sentence(rng, 9)])) for k in range(12)]
