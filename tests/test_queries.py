@@ -28,3 +28,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["greedy_tracks", "last_frame_miou", "suppression"])
+def test_box_queries_without_sql_take_all_orders(spark, name):
+    assert catalog.queries()[name](spark, SF).where("clip_id % 10 <> 0").limit(1).count() == 1
