@@ -38,20 +38,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def compare_pairs(pairs: DataFrame, payload: DataFrame, compare: Callable[[bytes, list[bytes]], list[bool]]) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) for which ``compare(payload of a, payloads of some b)`` is true.
+    """The ``pairs`` (``a``, ``b``) for which ``compare(payload of a, payloads of some b)`` is true; payload: ``id, x`` (binary)."""
+    return along_pairs(pairs, payload, payload, compare).where("share = 1").select("a", "b")
 
-    payload: ``id, x`` (binary). The b side carries its payload once for each pair; a's payload is sent once to each
-    of at most ``SALTS`` parts of its partners, so a hub neither gathers in one task nor is copied for each partner.
+
+def along_pairs(pairs: DataFrame, heads: DataFrame, others: DataFrame, work: Callable[[bytes, list[bytes]], list]) -> DataFrame:
+    """``a, b, share`` of the ``pairs`` (``a``, ``b``): the numbers that ``work(payload of a, payloads of some b)`` gives.
+
+    heads, others: ``id, x`` (binary) of the two sides. The b side carries its payload once for each pair; a's payload is
+    sent once to each of at most ``SALTS`` parts of its partners, so a hub neither gathers in one task nor is copied for
+    each partner.
     """
+    types = [pairs.schema[c].dataType.simpleString() for c in ("a", "b")]
+    arrow = [pa.string() if t == "string" else pa.int64() for t in types]
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    left = salted.join(payload.select(F.col("id").alias("b"), "x"), "b").select("a", "salt", "b", "x")
-    heads = salted.select("a", "salt").distinct().join(payload.select(F.col("id").alias("a"), "x"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "x")
+    right = salted.join(others.select(F.col("id").alias("b"), "x"), "b").select("a", "salt", "b", "x")
+    left = salted.select("a", "salt").distinct().join(heads.select(F.col("id").alias("a"), "x"), "a").select("a", "salt", F.lit(None).cast(types[1]).alias("b"), "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = head = None
         for batch in batches:
             a, salt, b, x = (batch.column(c).to_pylist() for c in ("a", "salt", "b", "x"))
-            kept: tuple[list, list] = ([], [])
+            kept: tuple[list, list, list] = ([], [], [])
             i = 0
             while i < len(a):
                 if (a[i], salt[i]) != key:
@@ -64,11 +72,10 @@ def compare_pairs(pairs: DataFrame, payload: DataFrame, compare: Callable[[bytes
                 while j < len(a) and (a[j], salt[j]) == key and b[j] is not None:
                     j += 1
                 if head is not None:
-                    for ok, other in zip(compare(head, x[i:j]), b[i:j], strict=True):
-                        if ok:
-                            kept[0].append(key[0])
-                            kept[1].append(other)
+                    kept[0].extend(a[i:j])
+                    kept[1].extend(b[i:j])
+                    kept[2].extend(map(float, work(head, x[i:j])))
                 i = j
-            yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0], arrow[0]), pa.array(kept[1], arrow[1]), pa.array(kept[2], pa.float64())], ["a", "b", "share"])
 
-    return left.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return right.unionByName(left).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, f"a {types[0]}, b {types[1]}, share double")

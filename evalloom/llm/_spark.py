@@ -56,12 +56,16 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+#: Rows of a slice at most, whatever the session's Arrow batches hold.
+ROWS = 1 << 15
+
+
 def slices(batch: pa.RecordBatch, most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch of rows into runs of about ``most`` text bytes, so that work memory stays bounded."""
+    """Cut a batch of rows into runs of about ``most`` text bytes and at most ``ROWS`` rows, so that work memory stays bounded."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > most:
+        if (total and total + n > most) or i - start >= ROWS:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -69,10 +69,16 @@ class Words:
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``size`` words from each word on, and which of these lie within one text."""
         n = len(self.hash)
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        return self.runs(self.hash, size), np.arange(n) + size <= self.first[text + 1] if n else np.zeros(0, dtype=bool)
+
+    @staticmethod
+    def runs(words: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` words from each word on; those at the end, where there are fewer, mean nothing."""
+        n = len(words)
         out = np.zeros(n, dtype=np.uint64)
         for k in range(size):
             part = np.zeros(n, dtype=np.uint64)
-            part[: max(0, n - k)] = self.hash[k:]
+            part[: max(0, n - k)] = words[k:]
             out = mix(out * _MULT + part)
-        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        return out, np.arange(n) + size <= self.first[text + 1] if n else np.zeros(0, dtype=bool)
+        return out
