@@ -129,13 +129,14 @@ def drop_recurring_lines(docs: DataFrame, least: int = 6, depth: int = 3, simila
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     gone = dropped_lines(docs, least, depth, similarity).groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    keyed = docs.select(*columns, row_key(docs).alias("_row")).join(gone.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left")
-    split = F.split("text", "\n", -1)
+    # All of a row's columns go as one, so that none of their names can clash.
+    keyed = docs.select(F.struct(*columns).alias("doc"), row_key(docs).alias("row")).join(gone.hint("shuffle_hash"), "row", "left")
+    split = F.split(F.col("doc")["text"], "\n", -1)
     n = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
+    text = F.when(F.col("gone").isNull(), F.col("doc")["text"]).otherwise(kept).alias("text")
     return keyed.select(
-        *[text if c == "text" else F.col(c) for c in columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        *[text if c == "text" else F.col("doc")[c].alias(c) for c in columns],
+        F.when(F.col("doc")["text"].isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         n.cast("long").alias("n_dropped"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from evalloom.llm import embedding_dedup, near_dup, suffix_dedup
 from evalloom.llm._graph import components
+from evalloom.llm._words import Words
 from evalloom.llm.decontamination import coverage, tiles
 from evalloom.llm.licenses import license_matches
 from evalloom.llm.line_dedup import drop_recurring_lines
@@ -241,13 +242,66 @@ def test_decontamination(spark):
     assert got == {0: (True, 0), 1: (True, 1), 2: (False, None), 3: (False, None), 4: (False, None), 5: (True, 2), 6: (False, 3)}
 
 
-def test_benchmark_in_blocks_agrees(spark, docs, monkeypatch):
-    from evalloom.llm import decontamination
+def plain_tiles(doc: list, item: list, least: int) -> int:
+    """Greedy string tiling as published: the longest matches of unmarked words, marked in order of place, until none is left."""
+    taken_item, taken_doc, covered = [False] * len(item), [False] * len(doc), 0
+    while True:
+        longest, found = least - 1, []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not taken_item[i + k] and not taken_doc[j + k]:
+                    k += 1
+                if k > longest:
+                    longest, found = k, [(i, j)]
+                elif k == longest >= least:
+                    found.append((i, j))
+        if longest < least:
+            return covered
+        for i, j in found:
+            if not any(taken_item[i : i + longest]) and not any(taken_doc[j : j + longest]):
+                taken_item[i : i + longest] = taken_doc[j : j + longest] = [True] * longest
+                covered += longest
+
+
+def test_tiles_equal_plain_tiling():
+    rng = random.Random(5)
+    for _ in range(300):
+        letters, least = rng.choice([2, 3, 6]), rng.choice([2, 3, 5])
+        item = [rng.randrange(letters) for _ in range(rng.randrange(1, 30))]
+        doc: list[int] = []
+        while len(doc) < 40:
+            at = rng.randrange(len(item))
+            doc += item[at : at + rng.randrange(1, 14)] if rng.random() < 0.6 else [rng.randrange(letters + 2)]
+        a, b = np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64)
+        runs = Words.runs(a, least)[: max(0, len(a) - least + 1)]
+        assert tiles(b, a, np.flatnonzero(np.isin(Words.runs(b, least), runs)), least) == plain_tiles(doc, item, least)
+
+
+def test_tiles_of_one_repeated_word():
+    doc, item = np.full(20_000, 7, dtype=np.uint64), np.full(5000, 7, dtype=np.uint64)
+    assert tiles(doc, item, np.arange(len(doc) - 4), 5) == 5000
 
+
+def test_decontamination_equals_plain_tiling(docs, empty, rows):
     items = docs.where("doc_id < 10").select(F.col("doc_id").alias("item_id"), "text")
-    whole = sorted(map(str, coverage(docs, items).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK", 200)
-    assert sorted(map(str, coverage(docs, items).collect())) == whole
+    known = {i: t for i, t in rows if i is not None and i < 10}
+
+    def tokens(text: str | None) -> list[str]:
+        return re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    clash = docs.withColumn("_words", F.lit(1)).withColumn("row", F.lit(2)).withColumn("hits", F.lit(3))
+    got = coverage(clash, items)
+    assert {"_words", "row", "hits"} <= set(got.columns)
+    texts = dict(rows)
+    for r in got.where("doc_id is not null").collect():
+        shares = {i: plain_tiles(tokens(texts[r["doc_id"]]), tokens(t), 5) / len(tokens(t)) for i, t in known.items() if tokens(t)}
+        best = max(shares.values())
+        assert r["n_items"] == sum(s >= 0.8 for s in shares.values()) and r["contaminated"] == (r["n_items"] > 0)
+        assert abs(r["coverage"] - best) < 1e-12
+        assert r["item_id"] == (min(i for i, s in shares.items() if s == best) if best else None)
+    assert coverage(empty, items).count() == 0
+    assert coverage(docs, items.limit(0)).where("contaminated").count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -313,7 +367,9 @@ def test_line_dedup(spark, docs, empty):
     assert all(got[k]["n_dropped"] == 1 for k, _ in variable)
     assert (got[300]["text"], got[300]["n_lines"], got[301]["text"], got[301]["n_lines"]) == (None, 0, "", 1)
     assert drop_recurring_lines(empty).count() == 0
-    assert drop_recurring_lines(docs).count() == docs.count()
+    clash = docs.withColumn("gone", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("row", F.lit(3)).withColumn("doc", F.lit(4))
+    assert drop_recurring_lines(clash).columns == [*clash.columns, "n_lines", "n_dropped"]
+    assert drop_recurring_lines(clash).where("gone = 1 and _row = 2 and row = 3 and doc = 4").count() == docs.count()
 
 
 def test_line_dedup_in_skewed_input(spark):
