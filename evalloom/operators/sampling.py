@@ -130,15 +130,18 @@ def round_robin(types: DataFrame, games: DataFrame, kind: str, game: str, each:
     return wanted.join(numbered, "_g").select(kind, "turn", game)
 
 
-def sliding_meter(rows: DataFrame, key: str, order: str, value: str, size: int = 50) -> DataFrame:
-    """Median, mean and latest of the last ``size`` values of each key, and its running mean and total."""
-    by = Window.partitionBy(key).orderBy(order)
+def sliding_meter(rows: DataFrame, key: str, order: Sequence[str], value: str, size: int = 50) -> DataFrame:
+    """Median, mean and latest of the last ``size`` values of each key, and its running mean and total.
+
+    Rows that agree in ``order`` come by their value, so the result doesn't depend on how the rows are dealt.
+    """
+    by = Window.partitionBy(key).orderBy(*order, value)
     last, all_ = by.rowsBetween(-(size - 1), 0), by.rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
     held = F.sort_array(F.collect_list(v).over(last))  # at most ``size`` values
     median = (F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")) + F.get(held, F.floor(F.size(held) / 2).cast("int"))) / 2
     return rows.select(
-        key, order, median.alias("median"), F.avg(v).over(last).alias("avg"), v.alias("latest"), F.avg(v).over(all_).alias("global_avg"), F.sum(v).over(all_).alias("total")
+        key, *order, median.alias("median"), F.avg(v).over(last).alias("avg"), v.alias("latest"), F.avg(v).over(all_).alias("global_avg"), F.sum(v).over(all_).alias("total")
     )
 
 

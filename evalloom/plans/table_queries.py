@@ -160,11 +160,12 @@ def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", sampling.uniform_indices((F.col("p_size") + 20).cast("double"), 8).alias("frames"))
 
 
-@query("SELECT l_returnflag, o, l_quantity AS latest, median(l_quantity) OVER w AS median, round(avg(l_quantity) OVER w, 6) AS avg, round(avg(l_quantity) OVER a, 6) AS global_avg, sum(l_quantity) OVER a AS total FROM (SELECT l_returnflag, l_quantity, l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber = 1) WINDOW w AS (PARTITION BY l_returnflag ORDER BY o ROWS 49 PRECEDING), a AS (PARTITION BY l_returnflag ORDER BY o ROWS UNBOUNDED PRECEDING)")
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS latest, median(l_quantity) OVER w AS median, round(avg(l_quantity) OVER w, 6) AS avg, round(avg(l_quantity) OVER a, 6) AS global_avg, sum(l_quantity) OVER a AS total
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS 49 PRECEDING), a AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)""")
 def sliding_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1-V3: statistics of the last fifty values, and running ones."""
-    l = read(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0 and l_linenumber = 1").select("l_returnflag", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))  # noqa: E741
-    return rounded(sampling.sliding_meter(l, "l_returnflag", "o", "l_quantity"))
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    return rounded(sampling.sliding_meter(l, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "l_quantity"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER w) / stddev_pop(o_totalprice) OVER w, 6) AS whitened FROM orders WINDOW w AS (PARTITION BY o_orderpriority)")
