@@ -11,17 +11,17 @@ from evalloom.operators import boxes
 from evalloom.plans.catalog import query
 from evalloom.plans.tables import read, rounded
 
-_SQL = """WITH l AS (SELECT l_orderkey AS clip_id, (l_linenumber - 1)::INT AS frame_id, l_partkey % 3 AS t, l_suppkey % 3 AS s, (l_partkey % 10)::DOUBLE AS x, (l_suppkey % 10)::DOUBLE AS y FROM lineitem WHERE l_orderkey % 10 = 0),
+_SQL = """WITH l AS (SELECT l_orderkey AS clip_id, (l_linenumber - 1)::INT AS frame_id, l_partkey % 3 AS t, l_suppkey % 3 AS s, (l_partkey % 10)::DOUBLE AS x, (l_suppkey % 10)::DOUBLE AS y FROM lineitem),
 truth AS (SELECT clip_id, frame_id, t AS track_id, x AS x1, y AS y1, x + 4 AS x2, y + 5 AS y2 FROM l),
 pred AS (SELECT clip_id, frame_id, s AS track_id, x + (s - 1) AS x1, y + 0.5 AS y1, x + 4 + (s - 1) AS x2, y + 5 AS y2 FROM l),
 pairs AS (SELECT p.clip_id, p.frame_id, p.track_id AS pred_id, t.track_id AS truth_id, greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) AS i,
   (p.x2 - p.x1) * (p.y2 - p.y1) AS ap, (t.x2 - t.x1) * (t.y2 - t.y1) AS tt FROM pred p JOIN truth t USING (clip_id, frame_id)) """
 
 
-def _boxes(spark: SparkSession, sf_dir: str, every: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Of every tenth order, as in ``_SQL``; queries without SQL take every one."""
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Predicted and true boxes of all lineitems, as in ``_SQL``."""
     x, y = (F.col("l_partkey") % 10).cast("double"), (F.col("l_suppkey") % 10).cast("double")
-    l = read(spark, sf_dir, "lineitem").where(f"l_orderkey % {every} = 0").select(F.col("l_orderkey").alias("clip_id"), (F.col("l_linenumber") - 1).alias("frame_id"), (F.col("l_partkey") % 3).alias("t"), (F.col("l_suppkey") % 3).alias("s"), x.alias("x"), y.alias("y"))  # noqa: E741
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), (F.col("l_linenumber") - 1).alias("frame_id"), (F.col("l_partkey") % 3).alias("t"), (F.col("l_suppkey") % 3).alias("s"), x.alias("x"), y.alias("y"))  # noqa: E741
     truth = l.select("clip_id", "frame_id", F.col("t").alias("track_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 4).alias("x2"), (F.col("y") + 5).alias("y2"))
     shift = F.col("s") - 1
     pred = l.select("clip_id", "frame_id", F.col("s").alias("track_id"), (F.col("x") + shift).alias("x1"), (F.col("y") + 0.5).alias("y1"), (F.col("x") + 4 + shift).alias("x2"), (F.col("y") + 5).alias("y2"))
@@ -86,26 +86,26 @@ def corpus_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy one-to-one mapping of tracks (sequential; tests hold it against a plain checker)."""
-    return boxes.greedy_mapping(boxes.frame_pairs(*_boxes(spark, sf_dir, 1)).where("frame_id = 0"), 0.3)
+    return boxes.greedy_mapping(boxes.frame_pairs(*_boxes(spark, sf_dir)).where("frame_id = 0"), 0.3)
 
 
 @query()
 def dynamic_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping that grows frame by frame."""
-    pred, truth = _boxes(spark, sf_dir, 1)
+    pred, truth = _boxes(spark, sf_dir)
     return boxes.dynamic_mapping(boxes.frame_pairs(pred, truth), truth, 0.3)
 
 
 @query()
 def optimal_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-cost assignment in each frame."""
-    return boxes.optimal_assignment(boxes.frame_pairs(*map(_one_box, _boxes(spark, sf_dir, 1))), 0.7)
+    return boxes.optimal_assignment(boxes.frame_pairs(*map(_one_box, _boxes(spark, sf_dir))), 0.7)
 
 
 @query()
 def last_frame_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of the last frame in the order of the true boxes; unmatched ones count 0."""
-    pred, truth = map(_one_box, _boxes(spark, sf_dir, 1))
+    pred, truth = map(_one_box, _boxes(spark, sf_dir))
     last = truth.groupBy("clip_id").agg(F.max("frame_id").alias("frame_id"))
     at_end = truth.join(last, ["clip_id", "frame_id"], "left_semi")
     pairs = boxes.frame_pairs(pred, at_end)
@@ -115,7 +115,7 @@ def last_frame_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-maximum suppression by clip and frame."""
-    pred, _ = _boxes(spark, sf_dir, 1)
+    pred, _ = _boxes(spark, sf_dir)
     return boxes.suppress(pred.withColumn("score", (F.col("x1") * 7 % 11) / 11), ["clip_id", "frame_id"], 0.5)
 
 
@@ -155,7 +155,7 @@ def dense_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def wide_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coordinates of all tracks of a frame in one array, zeros where a track is missing."""
-    return boxes.wide_frames(boxes.dense_frames(_one_box(_boxes(spark, sf_dir, 1)[1]), 7, fill_forward=False))
+    return boxes.wide_frames(boxes.dense_frames(_one_box(_boxes(spark, sf_dir)[1]), 7, fill_forward=False))
 
 
 @query(_SQL + """SELECT clip_id, frame_id, pid AS pred_id, tid AS truth_id, round(i / (ap + tt - i) - (h - (ap + tt - i)) / h, 6) AS giou FROM (

@@ -81,13 +81,13 @@ def recall_by_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS_SQL = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
 p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label = i.label AS same, round((list_dot_product(q.v, i.v) + 1) / 2, 4) AS score
-      FROM n q JOIN n i ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id) """
+      FROM n q JOIN n i ON q.vec_id % 20 = 0 AND i.vec_id <> q.vec_id) """
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated query set (every 50th vector) against all vectors."""
+    """A stated query set (every 20th vector) against all vectors."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("v"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.col("v").alias("qv"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.col("v").alias("qv"))
     i = e.select(F.col("vec_id").alias("item_id"), "label", "v")
     scored = q.join(i, F.col("item_id") != F.col("query_id"))
     return scored.select("query_id", "item_id", (F.col("q_label") == F.col("label")).alias("same"), F.round((dot(F.col("qv"), F.col("v")) + 1) / 2, 4).alias("score"))
