@@ -1,7 +1,8 @@
 """Operator 6: MinHash near-duplicates with sequential Bayesian verification.
 
 1. Each text becomes its set of word shingles (48-bit hashes) and a MinHash signature. Texts with the same set are
-   one class; only the class's first document goes on.
+   one class; only one document of the class goes on. Classes are numbered, and those that one doc_id holds (rows that
+   repeat an id with another text) are linked with each other.
 2. Bands of the signature give buckets. Every member of a bucket is paired with the bucket's first one, so a bucket
    gives as many pairs as it has members.
 3. Signatures are compared batch by batch. After each batch the posterior of the similarity (uniform prior) bounds
@@ -196,11 +197,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``size``-word shingles.
     Null, empty and blank texts have an empty set and link with nothing. Repeated rows and equal texts are one class
-    and get the same component. An empty table gives an empty one. A pair at the threshold is missed with a chance of
+    and get the same component. Rows that repeat a doc_id with other texts are one document of several sets: what is
+    near any of them is in its component. Rows without a doc_id link nothing; they get the component of the
+    documents with an equal set, or null. Very long texts are read whole, one at a time. An empty table gives an empty one.
+    Sets are of 48-bit hashes of shingles. A pair at the threshold is missed with a chance of
     at most ``UNMET`` by the bands and about ``miss`` by the pruning, whatever the size of its buckets; no pair below it
     is linked.
     """
-    source = texts(docs)
+    source = texts(docs).withColumn("own", F.xxhash64("text"))
     n_bands, n_rows = banding(percent / 100)
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -226,21 +230,29 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("own"),
                 pa.array(n.astype(np.int64)),
                 pa.array(marks[0]),
                 pa.array(marks[1]),
                 pa.array([None if k is None else low[k].tobytes() for k in at], pa.binary()),
                 pa.array([None if k is None else bands[:, k].view(np.int64) for k in at], pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "mark", "mark2", "sig", "bands"],
+            ["doc_id", "own", "n_shingles", "mark", "mark2", "sig", "bands"],
         )
 
-    table = cut(map_batches(source, sketch, "doc_id long, n_shingles long, mark long, mark2 long, sig binary, bands array<long>", most=1 << 20))
+    table = cut(map_batches(source, sketch, "doc_id long, own long, n_shingles long, mark long, mark2 long, sig binary, bands array<long>", most=1 << 20))
     full = table.where("n_shingles > 0")
     same = ["n_shingles", "mark", "mark2"]
-    classes = cut(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"]).dropDuplicates(["doc_id"])
-    reps = cut(reps.select(F.col("doc_id").alias("id"), "sig", "bands"))
+    # A class is known by its number; its text is that of the row (rep, own).
+    classes = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("own", "doc_id").alias("own"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "rep", "own", *same))
+    reps = full.join(classes.select("id", F.col("rep").alias("doc_id"), "own"), ["doc_id", "own"]).dropDuplicates(["id"])
+    reps = cut(reps.select("id", "sig", "bands"))
+
+    again = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
+    held = full.select("doc_id", *same).join(again, "doc_id").join(classes.select("id", *same), same).select("doc_id", "id").distinct()
+    least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    bridges = cut(held.join(least, "doc_id").where("id <> a").select("a", F.col("id").alias("b")))
 
     exploded = reps.select("id", F.posexplode("bands").alias("band", "key"))
     first = exploded.groupBy("key").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -250,15 +262,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
 
     def set_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         shingles, at = shingle_sets(batch.column("text").to_pylist(), size)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["id", "x"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["id", "x"])
 
     def verified(some: DataFrame) -> DataFrame:
-        ids = some.select(F.col("a").alias("doc_id")).unionByName(some.select(F.col("b").alias("doc_id"))).distinct()
-        sets = cut(map_batches(source.join(ids.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), set_of, "id long, x binary", most=1 << 20))
+        ids = some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id"))).distinct()
+        rows = ids.join(classes.select("id", F.col("rep").alias("doc_id"), "own"), "id")
+        sets = cut(map_batches(source.join(rows.hint("shuffle_hash"), ["doc_id", "own"]).dropDuplicates(["id"]).select("id", "text"), set_of, "id long, x binary", most=1 << 20))
         return cut(compare_pairs(some, sets, verify))
 
     stars = members.where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct()
-    edges = verified(cut(compare_pairs(stars, reps.select("id", F.col("sig").alias("x")), prune)))
+    edges = verified(cut(compare_pairs(stars, reps.select("id", F.col("sig").alias("x")), prune))).unionByName(bridges)
     found = components(edges)
 
     # Buckets that still hold several components.
@@ -276,6 +289,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
         if new.limit(1).count():
             found = components(edges.unionByName(new))
 
-    of_doc = table.join(classes, same, "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    least = found.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    named = classes.join(found.join(least, "component").select("id", "least"), "id", "left")
+    of_doc = table.join(named.select(*same, F.coalesce("least", "rep").alias("least")), same, "left")
+    component = F.coalesce("least", "doc_id")
     return of_doc.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -212,6 +212,22 @@ def test_near_duplicates(docs, empty, rows, whole, monkeypatch):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(17)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, b), (2, f"{a} x"), (3, f"{b} y"), (4, b), (8, c), (9, c), (9, d), (6, f"{d} z"), (7, f"{c} z"), (7, None), (None, d), (None, f"{a} w"), (5, sentence(rng, 60))]
+    sets = [shingles(t, 3) for _, t in rows]
+    nodes = range(len(rows))
+    named = [i for i in nodes if rows[i][0] is not None]  # rows without an id link only with equal sets
+    links = [(i, j) for i in nodes for j in range(i) if sets[i] and sets[i] == sets[j]]
+    links += [(i, j) for i in named for j in named if rows[i][0] == rows[j][0] is not None and sets[i] and sets[j] or sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    comp = unions(len(rows), links)
+    least = {k: min((rows[i][0] for i in nodes if comp[i] == k and rows[i][0] is not None), default=None) for k in comp}
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    expected = [(i, len(s), least[k]) for (i, _), s, k in zip(rows, sets, comp, strict=True)]
+    assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got))) == sorted(map(str, expected))
+
+
 def test_pruning_keeps_similar_pairs():
     rule = near_dup.least_matches(0.85, 1e-4)
     assert all(m < 0.85 * n for n, m in rule)
