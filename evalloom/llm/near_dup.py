@@ -9,9 +9,11 @@
    the chance that the pair reaches the threshold; below ``miss`` the pair is dropped. Survivors are verified on
    their full sets.
 4. In buckets whose members don't yet all lie in one component, pairs across components are compared as well, by
-   their signatures and within the bucket's task, block by block; only survivors are handed on. Buckets of more than
-   ``WHOLE`` members are dealt into parts of about that size, and each part is compared with itself and with each other
-   part in tasks of their own, so that no pair is left out.
+   their signatures and within the bucket's task, block by block. The rows bring their full sets along, so that
+   survivors are verified on the spot, and only links that join two components are handed on: fewer than the task has
+   rows, however many pairs lie just under the threshold. Buckets of more than ``WHOLE`` members or ``BYTES`` bytes of
+   sets are dealt into parts of about that size, and each part is compared with itself and with each other part in
+   tasks of their own, so that no pair is left out.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ UNMET = 5e-5
 SIGNATURE = 256
 STEP = 16
 WHOLE = 1000
+BYTES = 32 << 20
 _BITS = np.uint64(48)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -120,28 +123,23 @@ def bayes(threshold: float, miss: float):
     return compare
 
 
-def across(threshold: float, miss: float):
-    """Pairs of one bucket's rows that lie in different components and survive the pruning.
+def across(percent: int, miss: float):
+    """Links of one bucket's rows that join different components: pairs that survive the pruning and hold on full sets.
 
-    Rows: ``key, band, id, component, part, sig``; if there are rows of two parts, only pairs across them are compared.
-    A pair that shares several bands meets in several buckets; it is handed on from the bucket of the first of them.
+    Rows: ``key, band, id, component, part, sig, x``; if there are rows of two parts, only pairs across them are
+    compared. A pair that shares several bands meets in several buckets; the bucket of the first of them compares it.
     """
-    rule, block, (bands, rows_of) = least_matches(threshold, miss), 256, banding(threshold)
+    rule, alike, block, (bands, rows_of) = least_matches(percent / 100, miss), exact(percent), 256, banding(percent / 100)
 
-    def survivors(band: int, ids: np.ndarray, component: np.ndarray, part: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        two = part.min() != part.max()
+    def links(band: int, ids: np.ndarray, component: np.ndarray, part: np.ndarray, sig: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+        out, two = [], part.min() != part.max()
+        root = np.unique(component, return_inverse=True)[1]
         for at in range(0, len(ids), block):
             for to in range(at, len(ids), block):
-                i, j = np.nonzero((ids[at : at + block, None] < ids[None, to : to + block]) & (component[at : at + block, None] != component[None, to : to + block]))
-                if to > at:
-                    k, m = np.nonzero((ids[at : at + block, None] > ids[None, to : to + block]) & (component[at : at + block, None] != component[None, to : to + block]))
-                    i, j = np.concatenate((i + at, m + to)), np.concatenate((j + to, k + at))
-                else:
-                    i, j = i + at, j + to
-                if two:
-                    apart = part[i] != part[j]
-                    i, j = i[apart], j[apart]
+                i, j = np.nonzero(root[at : at + block, None] != root[None, to : to + block])
+                i, j = i + at, j + to
+                fit = (i < j) & ((part[i] != part[j]) | (not two))
+                i, j = i[fit], j[fit]
                 matches, done = np.zeros(len(i), dtype=np.int64), 0
                 for n, least in rule:
                     matches = matches + (sig[i, done:n] == sig[j, done:n]).sum(1)
@@ -149,21 +147,22 @@ def across(threshold: float, miss: float):
                     i, j, matches, done = i[keep], j[keep], matches[keep], n
                 shared = (sig[i, : bands * rows_of] == sig[j, : bands * rows_of]).reshape(len(i), bands, rows_of).all(2)
                 own = shared[:, band] & ~shared[:, :band].any(1)
-                i, j = i[own], j[own]
-                left.append(ids[i])
-                right.append(ids[j])
-        return np.concatenate(left), np.concatenate(right)
+                for a, b in zip(i[own].tolist(), j[own].tolist(), strict=True):
+                    if root[a] != root[b] and alike(sets[a], [sets[b]])[0]:
+                        root[root == root[b]] = root[a]
+                        out.append((int(ids[a]), int(ids[b])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, band, rows = None, None, []
 
         def close() -> pa.RecordBatch:
-            ids, component, part, sig = zip(*rows, strict=True)
-            a, b = survivors(band, np.array(ids), np.array(component), np.array(part), np.frombuffer(b"".join(sig), dtype=np.uint16).reshape(len(ids), -1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            ids, component, part, sig, sets = zip(*rows, strict=True)
+            found = links(band, np.array(ids), np.array(component), np.array(part), np.frombuffer(b"".join(sig), dtype=np.uint16).reshape(len(ids), -1), sets)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for k, of, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "id", "component", "part", "sig")), strict=True):
+            for k, of, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "id", "component", "part", "sig", "x")), strict=True):
                 if k != key:
                     if len(rows) > 1:
                         yield close()
@@ -247,14 +246,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
     classes = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("own", "doc_id").alias("own"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "rep", "own", *same))
     reps = full.join(classes.select("id", F.col("rep").alias("doc_id"), "own"), ["doc_id", "own"]).dropDuplicates(["id"])
-    reps = cut(reps.select("id", "sig", "bands"))
+    reps = cut(reps.select("id", "n_shingles", "sig", "bands"))
 
     again = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
     held = full.select("doc_id", *same).join(again, "doc_id").join(classes.select("id", *same), same).select("doc_id", "id").distinct()
     least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
     bridges = cut(held.join(least, "doc_id").where("id <> a").select("a", F.col("id").alias("b")))
 
-    exploded = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    exploded = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     first = exploded.groupBy("key").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     members = cut(exploded.join(first, "key"))
 
@@ -264,28 +263,28 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, miss: flo
         shingles, at = shingle_sets(batch.column("text").to_pylist(), size)
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["id", "x"])
 
-    def verified(some: DataFrame) -> DataFrame:
-        ids = some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id"))).distinct()
+    def sets(ids: DataFrame) -> DataFrame:
         rows = ids.join(classes.select("id", F.col("rep").alias("doc_id"), "own"), "id")
-        sets = cut(map_batches(source.join(rows.hint("shuffle_hash"), ["doc_id", "own"]).dropDuplicates(["id"]).select("id", "text"), set_of, "id long, x binary", most=1 << 20))
-        return cut(compare_pairs(some, sets, verify))
+        return cut(map_batches(source.join(rows.hint("shuffle_hash"), ["doc_id", "own"]).dropDuplicates(["id"]).select("id", "text"), set_of, "id long, x binary", most=1 << 20))
 
     stars = members.where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct()
-    edges = verified(cut(compare_pairs(stars, reps.select("id", F.col("sig").alias("x")), prune))).unionByName(bridges)
+    likely = cut(compare_pairs(stars, reps.select("id", F.col("sig").alias("x")), prune))
+    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    edges = cut(compare_pairs(likely, sets(ends), verify)).unionByName(bridges)
     found = components(edges)
 
     # Buckets that still hold several components.
-    rest = members.join(found, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    parts = F.ceil(F.col("c") / WHOLE).cast("int")
-    rest = rest.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # A row goes to its part's task with each part, itself included.
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "band", "id", "component", "part")
-    dealt = rest.join(reps.select("id", "sig"), "id").repartition("key").sortWithinPartitions("key")
-    pairs = cut(dealt.select("key", "band", "id", "component", "part", "sig").mapInArrow(across(percent / 100, miss), "a long, b long").distinct())
-    if pairs.limit(1).count():
-        new = verified(pairs)
+    rest = members.join(found, "id", "left").select("key", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    parts = F.ceil(F.greatest(F.col("c") / WHOLE, F.col("n") * 8 / BYTES)).cast("int")
+    rest = cut(rest.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    if rest.limit(1).count():
+        full_sets = sets(rest.select("id").distinct())
+        # A row goes to its part's task with each part, itself included.
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rest = rest.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "band", "id", "component", "part")
+        dealt = rest.join(reps.select("id", "sig").join(full_sets, "id"), "id").repartition("key").sortWithinPartitions("key")
+        new = cut(dealt.select("key", "band", "id", "component", "part", "sig", "x").mapInArrow(across(percent, miss), "a long, b long"))
         if new.limit(1).count():
             found = components(edges.unionByName(new))
 
