@@ -85,19 +85,19 @@ def scale_and_pad(b: Box, scale: float, pad_x: float, pad_y: float, width: float
 
 
 def centre_crop(width: Column, height: Column, to_width: int, to_height: int) -> Column:
-    """scale, left and top of a resize that covers the target, then a centre crop (half-even rounding)."""
+    """scale, left and top of a resize that covers the target, then a centre crop (half-even rounding of the size, offsets in halves)."""
     scale = F.greatest(F.lit(float(to_width)) / width, F.lit(float(to_height)) / height)
-    left = F.floor((F.bround(width * scale) - to_width) / 2)
-    top = F.floor((F.bround(height * scale) - to_height) / 2)
-    return F.struct(scale.alias("scale"), left.cast("long").alias("left"), top.cast("long").alias("top"))
+    left = (F.bround(width * scale) - to_width) / 2
+    top = (F.bround(height * scale) - to_height) / 2
+    return F.struct(scale.alias("scale"), left.cast("double").alias("left"), top.cast("double").alias("top"))
 
 
 def crop_point(nx: Column, ny: Column, width: Column, height: Column, to_width: int, to_height: int) -> Column:
-    """A normalised point after the centre crop, normalised to the target and clipped to 0..1."""
+    """A normalised point after the centre crop, normalised to the target; outside 0..1 where it is cut off."""
     c = centre_crop(width, height, to_width, to_height)
     x = (nx * width * c["scale"] - c["left"]) / to_width
     y = (ny * height * c["scale"] - c["top"]) / to_height
-    return F.struct(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("x"), F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)).alias("y"))
+    return F.struct(x.alias("x"), y.alias("y"))
 
 
 def valid(b: Box) -> Column:

@@ -26,8 +26,8 @@ def option_letter(text: Column, last: bool = False, letters: str = "A-E") -> Col
 
 
 def options_in(text: Column, letters: str = "A-E") -> Column:
-    """Sorted distinct letters that open an option such as ``A.`` or ``(B)``."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?:^|[\s(])([{letters}])[.):]"), F.lit(1))))
+    """Sorted distinct free-standing letters before a colon, in any case."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(rf"\b([{letters}])\s*:"), F.lit(1))))
 
 
 def question_type(entry_id: Column) -> Column:
@@ -54,20 +54,20 @@ def is_final(text: Column, phrase: str = "I cannot answer") -> Column:
 
 
 def verdict(content: Column) -> Column:
-    """``Right`` or ``Wrong`` from strict JSON, else from the leading word, else null."""
+    """``Right`` or ``Wrong``: exactly so in a JSON object, else the first word without outer signs, in any case; else null."""
     strict = F.get_json_object(content, "$.verdict")
-    word = F.lower(F.regexp_extract(content, r"^\s*[\"'*]*([A-Za-z]+)", 1))
-    told = F.lower(F.trim(F.coalesce(strict, word)))
-    return F.when(told == "right", "Right").when(told == "wrong", "Wrong")
+    word = F.lower(F.regexp_extract(content, r"^\s*[.,:;\"'`]*([^\s]*?)[.,:;\"'`]*(?:\s|$)", 1))
+    return F.when(strict.isin("Right", "Wrong"), strict).when(word == "right", "Right").when(word == "wrong", "Wrong")
 
 
 def score_ratio(text: Column, good: str = "Supported", bad: str = "Contradicted") -> Column:
-    """``Overall Score: X/Y`` as struct(got, total); else counts of the two marks."""
+    """``Overall Score: X/Y`` as struct(got, total); else counts of the two marks after a long dash, in any case; both null without any."""
     x = or_null(F.regexp_extract(text, r"Overall Score:\s*(\d+)\s*/\s*(\d+)", 1)).cast("int")
     y = or_null(F.regexp_extract(text, r"Overall Score:\s*(\d+)\s*/\s*(\d+)", 2)).cast("int")
-    n_good = F.regexp_count(text, F.lit(rf"\b{good}\b"))
-    n_bad = F.regexp_count(text, F.lit(rf"\b{bad}\b"))
-    return F.struct(F.coalesce(x, n_good).alias("got"), F.coalesce(y, n_good + n_bad).alias("total"))
+    n_good = F.regexp_count(text, F.lit(rf"(?i)\u2014\s*\*{{0,2}}{good}"))
+    n_bad = F.regexp_count(text, F.lit(rf"(?i)\u2014\s*\*{{0,2}}{bad}"))
+    some = n_good + n_bad > 0
+    return F.struct(F.coalesce(x, F.when(some, n_good)).alias("got"), F.coalesce(y, F.when(some, n_good + n_bad)).alias("total"))
 
 
 def json_field(text: Column, key: str) -> Column:
@@ -84,10 +84,11 @@ def judge_key(question_id: Column, gold: Column, predicted: Column) -> Column:
 
 
 def clock_seconds(text: Column) -> Column:
-    """``MM:SS`` in seconds; -1 where it can't be read, null included."""
-    ok = F.coalesce(text.rlike(r"^\s*\d+:\d+(\.\d+)?\s*$"), F.lit(False))
-    parts = F.split(F.trim(text), ":")
-    return F.when(ok, F.try_element_at(parts, F.lit(1)).try_cast("double") * 60 + F.try_element_at(parts, F.lit(2)).try_cast("double")).otherwise(F.lit(-1.0))
+    """Seconds of the first two parts of ``MM:SS``, any further parts ignored; -1 where they are no numbers, null included."""
+    parts = F.split(text, ":")
+    number = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+    first, second = (F.when(p.rlike(number), F.trim(p).try_cast("double")) for p in (F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))))
+    return F.coalesce(first * 60 + second, F.lit(-1.0))
 
 
 def season_year(code: Column) -> Column:

@@ -159,14 +159,18 @@ def aligned(pred: DataFrame, truth: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def holistic_miou(pred: DataFrame, truth: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Sum of intersections over sum of unions by clip; lone boxes add their area to the union. Also the mean of frame means."""
+    """Sum of intersections over sum of unions by clip (0 without any union); lone boxes add their area to the union.
+
+    Also the mean over frames of the mean IoU of a frame's pairs, lone boxes as 0.
+    """
     both = aligned(pred, truth, mapping)
     p, t = Box.of("p_"), Box.of("t_")
     matched = F.col("has_p") & F.col("has_t")
     inter = F.when(matched, intersection(p, t)).otherwise(F.lit(0.0))
     whole = F.when(matched, union(p, t)).when(F.col("has_p"), p.area).otherwise(t.area)
-    frames = both.groupBy("clip_id", "frame_id").agg(F.sum(inter).alias("i"), F.sum(whole).alias("u"))
-    return frames.groupBy("clip_id").agg(F.try_divide(F.sum("i"), F.sum("u")).alias("holistic_miou"), F.avg(F.coalesce(F.try_divide("i", "u"), F.lit(0.0))).alias("frame_mean"), F.count(F.lit(1)).alias("n_frames"))
+    each = F.when(matched & (whole > 0), inter / whole).otherwise(F.lit(0.0))
+    frames = both.groupBy("clip_id", "frame_id").agg(F.sum(inter).alias("i"), F.sum(whole).alias("u"), F.avg(each).alias("m"))
+    return frames.groupBy("clip_id").agg(F.coalesce(F.try_divide(F.sum("i"), F.sum("u")), F.lit(0.0)).alias("holistic_miou"), F.avg("m").alias("frame_mean"), F.count(F.lit(1)).alias("n_frames"))
 
 
 def video_miou(pred: DataFrame, truth: DataFrame, mapping: DataFrame, penalise: bool = False) -> DataFrame:
@@ -217,13 +221,13 @@ def subtract_tracks(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("clip_id", "track_id").distinct(), ["clip_id", "track_id"], "left_anti")
 
 
-def drop_duplicate_tracks(a: DataFrame, b: DataFrame, near: float = 0.15, age: str = "age") -> tuple[DataFrame, DataFrame]:
-    """Tracks of two lists with IoU distance under ``near`` in the same clip: the younger one goes (ties: that of ``b``)."""
+def drop_duplicate_tracks(a: DataFrame, b: DataFrame, near: float = 0.05, age: str = "age") -> tuple[DataFrame, DataFrame]:
+    """Tracks of two lists with IoU distance under ``near`` in the same clip: the younger one goes (ties: that of ``a``)."""
     left = a.select("clip_id", F.col("track_id").alias("ta"), F.col(age).alias("age_a"), *(F.col(c).alias(f"p_{c}") for c in COORDS))
     right = b.select("clip_id", F.col("track_id").alias("tb"), F.col(age).alias("age_b"), *(F.col(c).alias(f"t_{c}") for c in COORDS))
     dup = left.join(right, "clip_id").where(1 - iou(Box.of("p_"), Box.of("t_")) < near)
-    gone_a = dup.where("age_a < age_b").select("clip_id", F.col("ta").alias("track_id")).distinct()
-    gone_b = dup.where("age_a >= age_b").select("clip_id", F.col("tb").alias("track_id")).distinct()
+    gone_a = dup.where("age_a <= age_b").select("clip_id", F.col("ta").alias("track_id")).distinct()
+    gone_b = dup.where("age_a > age_b").select("clip_id", F.col("tb").alias("track_id")).distinct()
     return a.join(gone_a, ["clip_id", "track_id"], "left_anti"), b.join(gone_b, ["clip_id", "track_id"], "left_anti")
 
 

@@ -46,7 +46,7 @@ _ALIGNED = _SQL + _SAME + """, a AS (SELECT clip_id, frame_id, track_id, p.x1 IS
  greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) AS i, (p.x2 - p.x1) * (p.y2 - p.y1) AS ap, (t.x2 - t.x1) * (t.y2 - t.y1) AS tt FROM
  (SELECT clip_id, frame_id, track_id, max(x1) AS x1, max(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM pred GROUP BY 1, 2, 3) p FULL JOIN
  (SELECT clip_id, frame_id, track_id, max(x1) AS x1, max(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM truth GROUP BY 1, 2, 3) t USING (clip_id, frame_id, track_id)),
-f AS (SELECT clip_id, frame_id, sum(CASE WHEN hp AND ht THEN i ELSE 0 END) AS i, sum(CASE WHEN hp AND ht THEN ap + tt - i WHEN hp THEN ap ELSE tt END) AS u, avg(CASE WHEN hp AND ht THEN i / (ap + tt - i) END) AS m,
+f AS (SELECT clip_id, frame_id, sum(CASE WHEN hp AND ht THEN i ELSE 0 END) AS i, sum(CASE WHEN hp AND ht THEN ap + tt - i WHEN hp THEN ap ELSE tt END) AS u, avg(CASE WHEN hp AND ht THEN i / (ap + tt - i) END) AS m, avg(CASE WHEN hp AND ht AND ap + tt - i > 0 THEN i / (ap + tt - i) ELSE 0 END) AS e,
  count(*) FILTER (WHERE hp AND ht) AS tp, count(*) FILTER (WHERE hp) AS np, count(*) FILTER (WHERE ht) AS nt FROM a GROUP BY 1, 2) """
 
 
@@ -59,7 +59,7 @@ def _identity(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("clip_id", F.col("track_id").alias("truth_id"), F.col("track_id").alias("pred_id"))
 
 
-@query(_ALIGNED + "SELECT clip_id, round(sum(i) / sum(u), 6) AS holistic_miou, round(avg(i / u), 6) AS frame_mean, count(*) AS n_frames FROM f GROUP BY 1")
+@query(_ALIGNED + "SELECT clip_id, round(coalesce(sum(i) / nullif(sum(u), 0), 0), 6) AS holistic_miou, round(avg(e), 6) AS frame_mean, count(*) AS n_frames FROM f GROUP BY 1")
 def holistic_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersections over unions with areas of lone boxes, under an identity mapping."""
     pred, truth = map(_one_box, _boxes(spark, sf_dir))
@@ -74,7 +74,7 @@ def video_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boxes.video_miou(pred, truth, _identity(pred, truth)))
 
 
-@query(_ALIGNED + "SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(median(x), 6) AS median, count(x) AS n, count(*) - count(x) AS failed FROM (SELECT sum(i) / sum(u) AS x FROM f GROUP BY clip_id)")
+@query(_ALIGNED + "SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(median(x), 6) AS median, count(x) AS n, count(*) - count(x) AS failed FROM (SELECT coalesce(sum(i) / nullif(sum(u), 0), 0) AS x FROM f GROUP BY clip_id)")
 def corpus_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus summary of the clips' holistic mIoU."""
     from evalloom.operators.accuracy import corpus_summary
@@ -178,7 +178,7 @@ def box_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT p_partkey, (640 + p_size * 10)::DOUBLE AS w, (360 + p_size)::DOUBLE AS h FROM part), s AS (SELECT *, greatest(832::DOUBLE / w, 480::DOUBLE / h) AS scale FROM d)
-SELECT p_partkey, round(scale, 6) AS scale, floor((round_even(w * scale, 0) - 832) / 2)::BIGINT AS crop_left, floor((round_even(h * scale, 0) - 480) / 2)::BIGINT AS crop_top FROM s""")
+SELECT p_partkey, round(scale, 6) AS scale, (round_even(w * scale, 0) - 832) / 2 AS crop_left, (round_even(h * scale, 0) - 480) / 2 AS crop_top FROM s""")
 def centre_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """centre-crop parameters, half-even rounding."""
     c = geometry.centre_crop((640 + F.col("p_size") * 10).cast("double"), (360 + F.col("p_size")).cast("double"), 832, 480)

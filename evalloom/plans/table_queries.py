@@ -90,7 +90,7 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 50) * 60.0::DOUBLE + event_id % 60 ELSE -1 END AS seconds, 2000 + event_id % 99 + 1 AS season, json_extract_string(props, '$.k') AS k,
-CASE WHEN event_id % 4 = 0 THEN 'Right' WHEN event_id % 4 = 1 THEN 'Wrong' WHEN event_id % 4 = 2 THEN 'Right' END AS verdict FROM events""")
+CASE WHEN event_id % 4 = 0 THEN 'Right' WHEN event_id % 4 = 1 THEN 'Wrong' END AS verdict FROM events""")
 def parsed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock, season, JSON fields in free text, verdicts."""
     i = F.col("event_id")

@@ -78,14 +78,14 @@ def test_coverage(spark):
     assert (got["micro"], got["macro"]) == (pytest.approx(0.4), pytest.approx(0.458333, abs=1e-5))
 
 
-@pytest.mark.parametrize(("said", "told"), [("Right - matches", "Right"), ('{"verdict":"Wrong"}', "Wrong"), ("maybe", None)])
+@pytest.mark.parametrize(("said", "told"), [("Right - matches", "Right"), ('{"verdict":"Wrong"}', "Wrong"), ("maybe", None), ("**Right**", None), ("right-hand", None), ('{"verdict": "right"}', None), ("`Wrong`. No", "Wrong"), (" RIGHT:", "Right")])
 def test_verdict(spark, said, told):
     assert one(spark, text.verdict(F.col("c")), c=said) == told
 
 
 def test_clock_and_season(spark):
-    rows = spark.createDataFrame([("08:05",), ("x",), (None,)], "c string").select(text.clock_seconds(F.col("c")))
-    assert [r[0] for r in rows.collect()] == [485.0, -1.0, -1.0]
+    rows = spark.createDataFrame([("08:05",), ("x",), (None,), ("10:30:00",), ("a:1",), ("1:",), (" 2 : 1.5 ",)], "c string").select(text.clock_seconds(F.col("c")))
+    assert [r[0] for r in rows.collect()] == [485.0, -1.0, -1.0, 630.0, -1.0, -1.0, 121.5]
     rows = spark.createDataFrame([("21-22",), ("99-00",), ("2019",)], "c string").select(text.season_year(F.col("c")))
     assert [r[0] for r in rows.collect()] == [2022, 2000, 2019]
 
@@ -176,15 +176,34 @@ def test_datasets(spark):
 
 
 def test_scores_of_judges(spark):
-    said = spark.createDataFrame([("Overall Score: 3/4",), ("Supported x Contradicted Supported",)], "c string").select(text.score_ratio(F.col("c")).alias("s"))
-    assert [(r["s"]["got"], r["s"]["total"]) for r in said.collect()] == [(3, 4), (2, 3)]
+    said = spark.createDataFrame([("Overall Score: 3/4",), ("1 \u2014 **supported 2 \u2014 Contradicted, Supported",), ("Supported",)], "c string").select(text.score_ratio(F.col("c")).alias("s"))
+    assert [(r["s"]["got"], r["s"]["total"]) for r in said.collect()] == [(3, 4), (1, 2), (None, None)]
     assert one(spark, text.json_field(F.col("c"), "k"), c='so {"k": "v"} it is') == "v"
     assert one(spark, text.answer_body(F.col("c")), c="a <answer> b\nc </answer>") == "b\nc"
     assert one(spark, text.without_thinking(F.col("c")), c="<think>x</think> y") == "y"
-    assert one(spark, text.options_in(F.col("c")), c="Pick: B. two (A) one C") == ["A", "B"]
+    assert one(spark, text.options_in(F.col("c")), c="Pick b: two A : one (C) D.") == ["A", "B"]
 
 
 def test_format_table():
     from evalloom.operators.reports import format_table
 
     assert format_table(["a", "bb"], [["x", 1.5], ["yy", None]]) == "a     bb\n--  ----\nx   1.50\nyy     -"
+
+
+def test_frame_mean_is_of_pairs_and_lone_boxes(spark):
+    schema = "clip_id long, frame_id long, track_id long, x1 double, y1 double, x2 double, y2 double"
+    truth = spark.createDataFrame([(0, 0, 1, 0.0, 0.0, 2.0, 2.0), (0, 0, 2, 8.0, 8.0, 9.0, 9.0), (1, 0, 1, 1.0, 1.0, 1.0, 1.0)], schema)
+    pred = spark.createDataFrame([(0, 0, 1, 0.0, 0.0, 2.0, 2.0), (1, 0, 1, 1.0, 1.0, 1.0, 1.0)], schema)
+    mapping = spark.createDataFrame([(0, 1, 1), (1, 1, 1)], "clip_id long, truth_id long, pred_id long")
+    got = {r["clip_id"]: (r["frame_mean"], r["holistic_miou"]) for r in boxes.holistic_miou(pred, truth, mapping).collect()}
+    assert got == {0: (0.5, pytest.approx(0.8)), 1: (0.0, 0.0)}
+
+
+def test_duplicate_tracks_of_two_lists(spark):
+    schema = "clip_id long, track_id long, age long, x1 double, y1 double, x2 double, y2 double"
+    a = spark.createDataFrame([(0, 1, 5, 0.0, 0.0, 10.0, 10.0), (0, 2, 3, 50.0, 50.0, 60.0, 60.0), (0, 3, 9, 80.0, 80.0, 90.0, 90.0)], schema)
+    b = spark.createDataFrame([(0, 11, 5, 0.0, 0.0, 10.0, 10.0), (0, 12, 2, 50.0, 50.0, 60.0, 60.0), (0, 13, 1, 80.0, 80.0, 90.0, 89.0)], schema)
+    left, right = boxes.drop_duplicate_tracks(a, b)
+    # equal ages: that of the first list goes; a distance of 0.1 is none of a duplicate
+    assert sorted(r["track_id"] for r in left.collect()) == [2, 3]
+    assert sorted(r["track_id"] for r in right.collect()) == [11, 13]
