@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -32,7 +33,6 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")}
 _TABLE = {ord(c): k for c, k in _CLASSES.items()}
-LONGEST = 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -173,8 +173,17 @@ def runs_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int
     return out
 
 
-def infer_grammar(docs: DataFrame, max_docs: int = 2000) -> Grammar | None:
-    """Grammar of the credentials in the sample; None where there are fewer than 20."""
+def infer_grammar(docs: DataFrame, max_docs: int = 2000, per_doc: int = 20, longest: int = 256, repeats: int = 50, least: int = 20) -> Grammar | None:
+    """Grammar of the credentials in a bounded sample of labelled strings; None where there are fewer than ``least``.
+
+    The bounds hold for the fit alone, scans cover whole texts: ``max_docs`` documents, of each ``per_doc`` credentials
+    and as many other runs (those of the smallest checksum, wherever they stand), none longer than ``longest``
+    characters, and a class string counts ``repeats`` times at most. Null and empty texts give no strings.
+    """
+
+    def some(strings: list[str]) -> list[str]:
+        return sorted((v for v in strings if len(v) <= longest), key=lambda v: (zlib.crc32(v.encode()), v))[:per_doc]
+
     source = texts(docs)
     anything = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
     chosen = source.where(F.col("text").rlike(anything)).groupBy("doc_id").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("doc_id")
@@ -184,17 +193,17 @@ def infer_grammar(docs: DataFrame, max_docs: int = 2000) -> Grammar | None:
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)
             values = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST] + [text[a:b] for a, k, b in spans if k]
-            good += [v.translate(_TABLE) for v in values[:20] if len(v) <= LONGEST]
-            other += [text[a:b].translate(_TABLE) for a, b in runs_outside(text, spans)[:20] if b - a <= LONGEST]
+            good += [v.translate(_TABLE) for v in some(values)]
+            other += [v.translate(_TABLE) for v in some([text[a:b] for a, b in runs_outside(text, spans)])]
         rows = good + other
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([True] * len(good) + [False] * len(other), pa.bool_())], ["s", "good"])
 
     # at most max_docs ids
     rows = map_batches(source.join(F.broadcast(chosen), "doc_id"), label, "s string, good boolean").groupBy("s", "good").count().collect()
-    good = [s for r in sorted(rows) if r["good"] for s in [r["s"]] * min(r["count"], 50)]
-    if len(good) < 20:
+    good = [s for r in sorted(rows) if r["good"] for s in [r["s"]] * min(r["count"], repeats)]
+    if len(good) < least:
         return None
-    return Grammar.fit(good, [s for r in sorted(rows) if not r["good"] for s in [r["s"]] * min(r["count"], 50)])
+    return Grammar.fit(good, [s for r in sorted(rows) if not r["good"] for s in [r["s"]] * min(r["count"], repeats)])
 
 
 def scan_secrets(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
@@ -204,7 +213,7 @@ def scan_secrets(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
     (null and empty texts too) has the empty string and its digest. Repeated rows give a row each, other columns are
     ignored, an empty table gives an empty one. Without a grammar there are base spans only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # at most max_docs * 40 short strings' states
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # at most 2 * max_docs * per_doc short strings' states
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, rows = shared.value, []
