@@ -4,7 +4,7 @@ Vectors are made whole numbers and dealt to clusters around a bounded number of
 a tree is dealt over several. Each task bulk-loads M-trees: pages hold vectors (leaves) or routing vectors with covering
 radii (inner nodes), both with their distance to the page's own routing vector. The pages are a table.
 
-A query descends from the root, best bound first. With ``c`` a page's routing vector, ``r`` its covering radius and ``p``
+Queries descend from the root, best bound first, some of them together. With ``c`` a page's routing vector, ``r`` its covering radius and ``p``
 the routing vector above it, no vector x of the page scores more than ``<q,c> + |q| r``, and the triangle inequality
 bounds ``<q,c>`` itself by ``<q,p> + |q| d(p,c)``: entries that this stored distance rules out are never computed. Scores
 are whole, so bounds are cut to whole numbers; a page at the k-th score is opened only for a smaller vec_id.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from ._spark import cut, partitions
 
 #: Vectors of a tree, about; entries of a page; queries that one task searches in a tree, about.
-TREE, PAGE, QUERIES = 8192, 64, 65_536
+TREE, PAGE, QUERIES = 8192, 128, 65_536
+#: Queries that descend a tree together.
+TOGETHER = 256
 #: Pivots at most, in number and bytes: they go to every task.
 PIVOTS, PIVOT_BYTES = 4096, 16 << 20
 #: Scaled components beyond this don't take part.
@@ -38,14 +40,14 @@ _PAGES = "tree long, page long, leaf boolean, ids binary, rows binary, vectors b
 _FOUND = "query long, query_id long, vec_id long, score long"
 
 
-def dots(x: np.ndarray, q: np.ndarray) -> np.ndarray | list[int]:
-    """Exact inner products of whole-numbered doubles, held within the range of a long."""
-    if not len(x) or not len(q):
-        return np.zeros(len(x), dtype=np.int64)
+def dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact products of the matrices ``x`` and ``q`` of whole-numbered doubles, held within the range of a long."""
+    if not x.size or not q.size:
+        return np.zeros((x.shape[0], q.shape[1]), dtype=np.int64)
     if float(np.abs(x).max()) * float(np.abs(q).max()) * len(q) < 2.0**53:
         return (x @ q).astype(np.int64)
-    exact = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
-    return np.array([max(-_LONG - 1, min(_LONG, s)) for s in exact], dtype=np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(x) @ whole(q), -_LONG - 1, _LONG).astype(np.int64)
 
 
 class Tree:
@@ -93,41 +95,70 @@ class Tree:
         page = {"leaf": leaf, "ids": i, "rows": r, "x": np.frombuffer(x, "f8").reshape(len(i), -1), "up": u, "radius": np.frombuffer(radius, "f8"), "child": np.frombuffer(child, "i8"), "least": np.frombuffer(least, "i8")}
         self.pages.append(page)
 
-    def search(self, q: np.ndarray, row: int, k: int, floor: tuple[int, int] = _NONE) -> tuple[list[tuple[int, int]], int]:
-        """The best ``(score, -vec_id)`` of other rows than ``row``, at most ``k``, all above ``floor``; and the products computed."""
-        best: list[tuple[int, int]] = []
-        length = float(np.linalg.norm(q))
-        # the root's page has no entry above it: its own entries are bounded by their products alone
-        queue = [(0, 0, 0, None)]
+    def search(self, q: np.ndarray, rows: np.ndarray, k: int, floors: list[tuple[int, int]] | None = None) -> tuple[list[list[tuple[int, int]]], int]:
+        """For each query (a row of ``q``) the best ``(score, -vec_id)`` of other rows than its own, at most ``k``, all above
+        its floor; and the number of products computed.
+
+        One queue serves the queries together: it is keyed by the best bound that any of them has for a page, and a page is
+        computed for those queries only that still need it, on those entries only that one of them needs.
+        """
+        floors = floors or [_NONE] * len(q)
+        best: list[list[tuple[int, int]]] = [[] for _ in q]
+        limit = np.array([f[0] for f in floors], dtype=np.int64)
+        least = np.array([-f[1] if f != _NONE else _LONG for f in floors], dtype=np.int64)
+        length = np.linalg.norm(q, axis=1)
+        everyone = np.arange(len(q))
+        # the root has no routing vector above it: its entries are bounded by their products alone
+        queue = [(0.0, 0, 0, everyone, None, None)]
         computed = 0
+
+        def room(high: np.ndarray, of: np.ndarray, smallest: np.ndarray | int) -> np.ndarray:
+            """Whether something within the bound, of that vec_id or a larger one, may enter the queries' best."""
+            return ~((high < limit[of]) | ((high == limit[of]) & (smallest >= least[of])))
+
         while queue:
-            bound, least, number, above = heapq.heappop(queue)
-            limit = best[0] if len(best) == k else floor
-            if above is not None and (-bound, -least) <= limit:
-                break
+            bound, smallest, number, asked, above, high = heapq.heappop(queue)
+            if above is not None:
+                if -bound < limit.min():
+                    break
+                open_ = room(high, asked, smallest)
+                asked, above = asked[open_], above[open_]
+            if not len(asked):
+                continue
             page = self.pages[number]
-            keep = np.arange(len(page["ids"]))
+            entries = np.arange(len(page["ids"]))
             if above is not None:
-                reach = length * (page["up"] + page["radius"])
-                high = np.floor(above + reach + 1e-9 * (abs(above) + reach) + 1e-6)
-                keep = np.flatnonzero(~(high < limit[0]))
-            if not len(keep):
+                need = room(_above(above[:, None], length[asked, None] * (page["up"] + page["radius"])).T, asked, page["least"][:, None]).T
+                some = need.any(1)
+                asked, need = asked[some], need[some]
+                entries = np.flatnonzero(need.any(0))
+            if not len(asked):
                 continue
-            score = dots(page["x"][keep], q)
-            computed += len(keep)
+            score = dots(page["x"][entries], q[asked].T)
+            computed += score.size
             if page["leaf"]:
-                for s, i, r in zip(score.tolist(), page["ids"][keep].tolist(), page["rows"][keep].tolist(), strict=True):
-                    if r != row and (s, -i) > (best[0] if len(best) == k else floor):
-                        (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (s, -i))
+                at, of = np.nonzero(score >= limit[asked])
+                for s, i, r, who in zip(score[at, of].tolist(), page["ids"][entries[at]].tolist(), page["rows"][entries[at]].tolist(), asked[of].tolist(), strict=True):
+                    full = len(best[who]) == k
+                    if r != rows[who] and (s, -i) > (best[who][0] if full else floors[who]):
+                        (heapq.heappushpop if full else heapq.heappush)(best[who], (s, -i))
+                        if len(best[who]) == k:
+                            limit[who], least[who] = best[who][0][0], -best[who][0][1]
                 continue
-            reach = length * page["radius"][keep]
-            high = np.floor(score + reach + 1e-9 * (np.abs(score) + reach) + 1e-6)
-            for h, s, at in zip(high.tolist(), score.tolist(), keep.tolist(), strict=True):
-                if not (h, -int(page["least"][at])) <= limit:
-                    heapq.heappush(queue, (-h, int(page["least"][at]), int(page["child"][at]), s))
+            tops = _above(score, length[asked] * page["radius"][entries, None])
+            for n, at in enumerate(entries.tolist()):
+                first = int(page["least"][at])
+                open_ = room(tops[n], asked, first)
+                if open_.any():
+                    heapq.heappush(queue, (-float(tops[n][open_].max()), first, int(page["child"][at]), asked[open_], score[n][open_], tops[n][open_]))
         return best, computed
 
 
+def _above(score: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The whole number that no score within ``reach`` of ``score`` exceeds, with room for rounding."""
+    return np.floor(score + reach + 1e-9 * (np.abs(score) + reach) + 1e-6)
+
+
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     """``row, vec_id, dim, v`` of the rows that take part: components ``floor(scale * x)``, as doubles in bytes."""
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) <= LARGEST)))
@@ -233,31 +264,44 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, every: int =
     block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))
 
     def searched(visits: DataFrame) -> DataFrame:
-        """Search each ``(tree, row, vec_id, v, floor_score, floor_id)``; pages come before queries in a task."""
+        """Search each ``(tree, near, row, vec_id, v, floor_score, floor_id)``; in a task pages come first, then queries by the tree they are in."""
         over = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else pages.withColumn("block", F.lit(0))
         asked = visits.withColumn("block", block.cast("int"))
         both = over.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
         names = ("tree", "block", "kind", "leaf", "ids", "rows", "vectors", "up", "radius", "child", "least", "row", "vec_id", "v", "floor_score", "floor_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, held = None, Tree()
+            key, held, waiting = None, Tree(), []
+
+            def answers() -> pa.RecordBatch:
+                rows, ids, v, score, least = zip(*waiting, strict=True)
+                floors = [_NONE if s is None else (s, i) for s, i in zip(score, least, strict=True)]
+                q = np.frombuffer(b"".join(v), "f8").reshape(len(rows), -1)
+                best, _ = held.search(q, np.array(rows, "i8"), k, floors)
+                out = [(row, vec_id, -i, s) for row, vec_id, of in zip(rows, ids, best, strict=True) for s, i in of]
+                columns = list(zip(*out, strict=True)) if out else [()] * 4
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
+
             for batch in batches:
-                out = []
                 for t, b, kind, *page, row, vec_id, v, score, least in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                    if (t, b) != key:
-                        key, held = (t, b), Tree()
+                    if (t, b) != key or len(waiting) == TOGETHER:
+                        if waiting:
+                            yield answers()
+                        waiting = []
+                        if (t, b) != key:
+                            key, held = (t, b), Tree()
                     if kind == 0:
                         held.add(*page)
                     elif held.pages:
-                        best, _ = held.search(np.frombuffer(v, "f8"), row, k, _NONE if score is None else (score, least))
-                        out += [(row, vec_id, -i, s) for s, i in best]
-                columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
+                        waiting.append((row, vec_id, v, score, least))
+            if waiting:
+                yield answers()
 
-        return both.select(*names, "page").repartition(parts, "tree", "block").sortWithinPartitions("tree", "block", "kind", "page", "row").mapInArrow(run, _FOUND)
+        ordered = both.select(*names, "page", "near").repartition(parts, "tree", "block").sortWithinPartitions("tree", "block", "kind", "page", "near", "row")
+        return ordered.mapInArrow(run, _FOUND)
 
     nothing = F.lit(None).cast("long")
-    first = cut(searched(queries.select("tree", "row", "vec_id", "v", nothing.alias("floor_score"), nothing.alias("floor_id"))))
+    first = cut(searched(queries.select("tree", F.col("tree").alias("near"), "row", "vec_id", "v", nothing.alias("floor_score"), nothing.alias("floor_id"))))
     # the k-th of the query's own tree, where there are so many
     kth = first.groupBy("query").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("score", (-F.col("vec_id")).alias("least"))).alias("kth")).where(F.col("c") == k)
     known = queries.join(kth.select(F.col("query").alias("row"), F.col("kth.score").alias("floor_score"), F.col("kth.least").alias("floor_id")), "row", "left")
@@ -282,7 +326,7 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, every: int =
     asked = known.mapInArrow(visits, "row long, vec_id long, v binary, tree long, floor_score long, floor_id long, cluster long, trees long")
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)))
     asked = asked.withColumn("other", F.xxhash64("cluster", "salt")).where(F.col("other") != F.col("tree"))
-    second = searched(asked.select(F.col("other").alias("tree"), "row", "vec_id", "v", "floor_score", "floor_id"))
+    second = searched(asked.select(F.col("other").alias("tree"), F.col("tree").alias("near"), "row", "vec_id", "v", "floor_score", "floor_id"))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = first.unionByName(second).withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)

@@ -252,13 +252,16 @@ def test_tree_prunes_and_large_products_are_exact():
     x = np.floor(256 * (np.repeat(np.eye(16), 200, axis=0) * 2 + 0.05 * rng.standard_normal((3200, 16))))
     ids = np.arange(3200)
     tree = Tree.load(ids, ids, x)
-    for row in (5, 777, 3000):
-        best, computed = tree.search(x[row], row, 5)
+    rows = np.array([5, 777, 3000, 3001])
+    found, computed = tree.search(x[rows], rows, 5)
+    for row, best in zip(rows, found, strict=True):
         expected = sorted(((int(s), -int(i)) for i, s in enumerate(x @ x[row]) if i != row), reverse=True)[:5]
         assert sorted(best, reverse=True) == expected
-        assert computed < 1000
+        (floored,), _ = tree.search(x[[row]], np.array([row]), 5, [expected[2]])
+        assert sorted(floored, reverse=True) == expected[:2]
+    assert computed < 4 * 1000
     huge = np.array([[2.0**30 + 1, 1], [2.0**30, 3]])
-    assert exact_search.dots(huge, huge[0]).tolist() == [(2**30 + 1) ** 2 + 1, (2**30 + 1) * 2**30 + 3]
+    assert exact_search.dots(huge, huge[:1].T)[:, 0].tolist() == [(2**30 + 1) ** 2 + 1, (2**30 + 1) * 2**30 + 3]
 
 
 @pytest.mark.parametrize("name", ["op11_source_divergence", "op13_exact_search"])
