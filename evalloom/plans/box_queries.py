@@ -10,6 +10,7 @@ from evalloom.functions.geometry import Box
 from evalloom.operators import boxes
 from evalloom.plans.catalog import query
 from evalloom.plans.tables import read, rounded
+from evalloom.streaming import tracking
 
 _SQL = """WITH l AS (SELECT l_orderkey AS clip_id, (l_linenumber - 1)::INT AS frame_id, l_partkey % 3 AS t, l_suppkey % 3 AS s, (l_partkey % 10)::DOUBLE AS x, (l_suppkey % 10)::DOUBLE AS y FROM lineitem),
 truth AS (SELECT clip_id, frame_id, t AS track_id, x AS x1, y AS y1, x + 4 AS x2, y + 5 AS y2 FROM l),
@@ -183,3 +184,12 @@ def centre_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """centre-crop parameters, half-even rounding."""
     c = geometry.centre_crop((640 + F.col("p_size") * 10).cast("double"), (360 + F.col("p_size")).cast("double"), 832, 480)
     return rounded(read(spark, sf_dir, "part").select("p_partkey", c.alias("c")).select("p_partkey", F.col("c.scale").alias("scale"), F.col("c.left").alias("crop_left"), F.col("c.top").alias("crop_top")))
+
+
+@query()
+def two_stage_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of detections that drift by order and line (stateful, so no SQL; tests hold the stream against it)."""
+    n = F.col("l_linenumber")
+    drift = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), (n - 1).alias("frame_id"), (n * 2 + F.col("l_partkey") % 3).cast("double").alias("x1"), (F.col("l_suppkey") % 4).cast("double").alias("y1"), (0.4 + F.col("l_quantity") / 100).alias("score"))
+    detections = drift.withColumn("x2", F.col("x1") + 30).withColumn("y2", F.col("y1") + 50)
+    return rounded(tracking.track(detections, tracking.Settings(gated=True)))
