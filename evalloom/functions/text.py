@@ -13,10 +13,92 @@ def or_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def numbered_answers(text: Column, most: int = 5) -> Column:
-    """Bodies after ``Answer i:`` up to the next one, trimmed, the first ``most``."""
-    found = F.regexp_extract_all(text, F.lit(r"(?s)Answer\s*\d+\s*:(.*?)(?=Answer\s*\d+\s*:|\z)"), F.lit(1))
-    return F.slice(F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), 1, most)
+def numbered_answers(text: Column, most: int = 5, number: str = r"(?:\d+|[iv]+)") -> Column:
+    """Bodies after ``Answer i:`` (digits or small roman numerals) up to the next one, trimmed, the first ``most``."""
+    head = rf"Answer {number}:"
+    found = F.regexp_extract_all(text, F.lit(rf"(?s){head}\s*(.+?)(?={head}|\z)"), F.lit(1))
+    return F.slice(F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), 1, most)
+
+
+def question_triple(text: Column) -> Column:
+    """struct(questions, correct, wrong): the lines after ``Question 1-3:`` and ``Correct answer:``, and those after ``Wrong answer 1-3:`` in threes."""
+    wrong = F.regexp_extract_all(text, F.lit(r"(?d)Wrong answer [1-3]: (.*)"), F.lit(1))
+    starts = F.when(F.size(wrong) > 0, F.sequence(F.lit(1), F.size(wrong), F.lit(3))).otherwise(F.array().cast("array<int>"))
+    return F.struct(
+        F.regexp_extract_all(text, F.lit(r"(?d)Question [1-3]: (.*)"), F.lit(1)).alias("questions"),
+        F.regexp_extract_all(text, F.lit(r"(?d)Correct answer: (.*)"), F.lit(1)).alias("correct"),
+        F.transform(starts, lambda i: F.slice(wrong, i, 3)).alias("wrong"),
+    )
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def decision(text: Column) -> Column:
+    """struct(yes, explanation): whether the line after ``Decision:`` is yes, in any case, and what follows the last ``Explanation:``.
+
+    Without a decision: false and an empty explanation; without an explanation: the whole text.
+    """
+    said = text.rlike("Decision:")
+    word = _trimmed(F.regexp_extract(text, r"(?d)Decision:(.*)", 1))
+    return F.struct((said & (F.lower(word) == "yes")).alias("yes"), F.when(said, _trimmed(F.substring_index(text, "Explanation:", -1))).otherwise("").alias("explanation"))
+
+
+def revised_question(text: Column) -> Column:
+    """The line after the first ``Revised question:``; null without one."""
+    return or_null(_trimmed(F.regexp_extract(text, r"(?d)Revised question:\s*(.+)", 1)))
+
+
+#: The parts of a response body that hold text.
+RESPONSE = "output_text string, output array<struct<content:array<struct<text:string>>,message:struct<content:string>>>"
+
+
+def response_text(body: Column) -> Column:
+    """Text of a response body in JSON: ``output_text`` if it isn't blank, else the texts of all content blocks, joined; empty without any."""
+    b = F.from_json(body, RESPONSE)
+    blocks = "array<struct<text:string>>"
+
+    def texts(c: Column) -> Column:
+        return F.filter(F.transform(F.coalesce(c, F.array().cast(blocks)), lambda x: x["text"]), lambda t: t.isNotNull())
+
+    def of_message(c: Column) -> Column:
+        listed = F.from_json(c, blocks)
+        return F.when(c.startswith("["), texts(listed)).when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+
+    parts = F.flatten(F.transform(b["output"], lambda x: F.concat(texts(x["content"]), of_message(x["message"]["content"]))))
+    whole = _trimmed(b["output_text"])
+    return F.when(F.length(whole) > 0, whole).otherwise(F.coalesce(_trimmed(F.array_join(parts, "")), F.lit("")))
+
+
+def result_ids(response: Column) -> Column:
+    """Ids of a tool's JSON list of results: ``doc_id``, else ``clip_id``; results without either are left out."""
+    rows = F.from_json(response, "array<struct<doc_id:string,clip_id:string>>")
+    return F.filter(F.transform(rows, lambda x: F.coalesce(x["doc_id"], x["clip_id"])), lambda x: x.isNotNull())
+
+
+def option_logprobs(positions: Column, options: Column) -> Column:
+    """Log-probabilities by option (a map) at the first position that holds an option; null where none does.
+
+    ``positions``: an array, by place of the token, of arrays of struct(token, logprob). Tokens are trimmed, so a bare and a
+    spaced token are one option: the first counts.
+    """
+
+    def held(alternatives: Column) -> Column:
+        named = F.transform(F.coalesce(alternatives, F.array().cast("array<struct<token:string,logprob:double>>")), lambda x: F.struct(_trimmed(x["token"]).alias("o"), x["logprob"].cast("double").alias("p")))
+        return F.filter(named, lambda x: F.array_contains(options, x["o"]))
+
+    def as_map(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda x: x["o"]))
+        return F.map_from_arrays(names, F.transform(names, lambda o: F.filter(found, lambda x: x["o"] == o)[0]["p"]))
+
+    hit = F.try_element_at(F.filter(positions, lambda p: F.size(held(p)) > 0), F.lit(1))
+    return F.when(hit.isNotNull(), as_map(held(hit)))
+
+
+def option_logits(logits: Column, options: Column) -> Column:
+    """By option the larger of the logits of its bare and its spaced token; ``logits`` maps tokens to numbers."""
+    return F.map_from_arrays(options, F.transform(options, lambda o: F.greatest(F.try_element_at(logits, o), F.try_element_at(logits, F.concat(F.lit(" "), o)))))
 
 
 def option_letter(text: Column, last: bool = False, letters: str = "A-E") -> Column:
@@ -46,10 +128,15 @@ def answer_body(text: Column) -> Column:
 
 def without_thinking(text: Column) -> Column:
     """What stands after the first ``</think>``; all of it where there is none."""
-    return F.when(F.contains(text, F.lit("</think>")), F.trim(F.substring_index(text, "</think>", -1))).otherwise(text)
+    at = F.instr(text, "</think>")
+    return F.when(at > 0, F.trim(F.substring(text, at + len("</think>"), F.length(text)))).otherwise(text)
 
 
-def is_final(text: Column, phrase: str = "I cannot answer") -> Column:
+#: Fixed value: what a model says that gives up.
+NOT_FOUND = "I cannot find the answer in the provided documents or videos."
+
+
+def is_final(text: Column, phrase: str = NOT_FOUND) -> Column:
     return F.contains(text, F.lit("<answer>")) | F.contains(text, F.lit(phrase))
 
 
@@ -104,13 +191,11 @@ def remaining_clock(period: Column, elapsed: Column, length: Column) -> Column:
 
 
 def transcript_line(line: Column) -> Column:
-    """struct(start, end, caption) of ``[1.0s -> 2.5s] words``."""
-    pattern = r"\[\s*([\d.]+)\s*s?\s*->\s*([\d.]+)\s*s?\s*\]\s*(.*)"
-    return F.struct(
-        or_null(F.regexp_extract(line, pattern, 1)).try_cast("double").alias("start"),
-        or_null(F.regexp_extract(line, pattern, 2)).try_cast("double").alias("end"),
-        or_null(F.regexp_extract(line, pattern, 3)).alias("caption"),
-    )
+    """struct(start, end, caption) of ``[1.0s -> 2.5s] words``: whole seconds, and ``[1-2] words``; nulls for other lines."""
+    pattern = r"\[(.*)\..*s -> (.*)\..*s\](.*)"
+    start, end = (F.trim(F.regexp_extract(line, pattern, k)).try_cast("int") for k in (1, 2))
+    words = F.trim(F.regexp_extract(line, pattern, 3))
+    return F.struct(start.alias("start"), end.alias("end"), F.concat(F.lit("["), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("] "), words).alias("caption"))
 
 
 def names_before_colon(text: Column) -> Column:
@@ -146,7 +231,8 @@ def swap_first(path: Column, old: str, new: str) -> Column:
 def caption_normal(text: Column, most_words: int | None = None) -> Column:
     """Lower case, signs dropped, dashes and slashes to blanks, single blanks; optionally the first words only."""
     out = F.translate(F.lower(text), ",.'!?\"()*#:;~", "")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, "[-/]", " "), r"\s{2,}", " "))
+    out = F.replace(F.regexp_replace(out, "[-/]", " "), F.lit("<person>"), F.lit("person"))
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"\n+$", ""))
     return out if most_words is None else F.array_join(F.slice(F.split(out, " "), 1, most_words), " ")
 
 

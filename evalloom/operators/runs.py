@@ -85,20 +85,3 @@ def by_ordinal(responses: DataFrame, requests: DataFrame, custom_id: str = "cust
     """Responses ``task-<i>`` joined to the i-th request."""
     n = F.regexp_extract(custom_id, r"(\d+)$", 1).try_cast("long")
     return requests.join(responses.withColumn(ordinal, n), ordinal)
-
-
-def prune_context(messages: DataFrame, conversation: str, order: str, role: str, tokens: str, budget: int, keep_first: int = 2) -> DataFrame:
-    """Drop the oldest assistant-led turns until the rest is within ``budget``; the first ``keep_first`` messages stay.
-
-    A turn's suffix total is a running sum over turns, so nothing iterates.
-    """
-    from pyspark.sql import Window
-
-    by = Window.partitionBy(conversation).orderBy(order)
-    m = messages.withColumn("_n", F.row_number().over(by)).withColumn("_head", F.col("_n") <= keep_first)
-    m = m.withColumn("_turn", F.sum(((F.col(role) == "assistant") & ~F.col("_head")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.sum(F.when(F.col("_head"), F.col(tokens)).otherwise(0)).over(Window.partitionBy(conversation))
-    after = F.sum(F.when(F.col("_head"), F.lit(0)).otherwise(F.col(tokens))).over(Window.partitionBy(conversation).orderBy(F.desc("_turn")).rangeBetween(Window.unboundedPreceding, 0))
-    last = F.max("_turn").over(Window.partitionBy(conversation))
-    m = m.withColumn("_fits", F.col("_head") | (head + after <= budget) | (F.col("_turn") == last))
-    return m.where("_fits").drop("_n", "_head", "_turn", "_fits")

@@ -82,11 +82,13 @@ def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- texts ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, length(text) // 4 AS tokens, regexp_extract(text, '\\b([A-E])\\b', 1) AS letter, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[,.''!?\"()*#:;~]', '', 'g'), '[-/]', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS caption FROM conversations")
+@query("""SELECT conv_id, turn, length(text) // 4 AS tokens, list_sort(list_distinct(regexp_extract_all(upper(text), '\\b([A-E])\\s*:', 1))) AS options,
+trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower('<person> - ' || text), '[,.''!?"()*#:;~]', '', 'g'), '[-/]', ' ', 'g'), '<person>', 'person'), '\\s{2,}', ' ', 'g'), '\\n+$', ''), ' ') AS caption FROM conversations""")
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rough tokens, option letter, normalised caption."""
+    """Rough tokens, options, normalised caption."""
     c = F.col("text")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.rough_tokens(c).alias("tokens"), F.coalesce(text.option_letter(c), F.lit("")).alias("letter"), text.caption_normal(c).alias("caption"))
+    caption = text.caption_normal(F.concat(F.lit("<person> - "), c))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.rough_tokens(c).alias("tokens"), text.options_in(c).alias("options"), caption.alias("caption"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 50) * 60.0::DOUBLE + event_id % 60 ELSE -1 END AS seconds, 2000 + event_id % 99 + 1 AS season, json_extract_string(props, '$.k') AS k,
@@ -117,16 +119,6 @@ def chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.transcript(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role, length(text) // 4 AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2 AS head FROM conversations),
-n AS (SELECT *, sum((role = 'assistant' AND NOT head)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS k, sum(CASE WHEN head THEN t ELSE 0 END) OVER (PARTITION BY conv_id) AS h FROM m),
-o AS (SELECT *, sum(CASE WHEN head THEN 0 ELSE t END) OVER (PARTITION BY conv_id ORDER BY k DESC) AS s, max(k) OVER (PARTITION BY conv_id) AS last FROM n)
-SELECT conv_id, turn, role FROM o WHERE head OR h + s <= 200 OR k = last""")
-def pruned_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oldest turns dropped until the rest fits the budget."""
-    m = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.rough_tokens(F.col("text")).alias("t"))
-    return runs.prune_context(m, "conv_id", "turn", "role", "t", 200).select("conv_id", "turn", "role")
-
-
 # -- samples -------------------------------------------------------------------------------------------------------
 
 
