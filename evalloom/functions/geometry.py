@@ -46,15 +46,16 @@ def generalised_iou(a: Box, b: Box) -> Column:
     return iou(a, b) - F.when(hull > 0, (hull - union(a, b)) / hull).otherwise(0.0)
 
 
-def complete_iou_loss(a: Box, b: Box, eps: float = 1e-7) -> Column:
-    """1 - IoU + centre distance over hull diagonal + aspect-ratio term."""
+def complete_iou_loss(a: Box, b: Box) -> Column:
+    """1 - complete IoU: IoU less centre distance over hull diagonal, less the aspect-ratio term where IoU is over 0.5; within -1 and 1."""
     cw, ch = F.greatest(a.x2, b.x2) - F.least(a.x1, b.x1), F.greatest(a.y2, b.y2) - F.least(a.y1, b.y1)
-    diagonal = cw * cw + ch * ch + eps
     dx, dy = (a.x1 + a.x2 - b.x1 - b.x2) / 2, (a.y1 + a.y2 - b.y1 - b.y2) / 2
-    ratio = F.atan((a.x2 - a.x1) / (a.y2 - a.y1 + eps)) - F.atan((b.x2 - b.x1) / (b.y2 - b.y1 + eps))
+    away = F.try_divide(dx * dx + dy * dy, cw * cw + ch * ch)
+    ratio = F.atan(F.try_divide(b.x2 - b.x1, b.y2 - b.y1)) - F.atan(F.try_divide(a.x2 - a.x1, a.y2 - a.y1))
     v = F.lit(4 / math.pi**2) * ratio * ratio
-    alpha = v / (1 - iou(a, b) + v + eps)
-    return 1 - iou(a, b) + (dx * dx + dy * dy) / diagonal + alpha * v
+    over = iou(a, b)
+    shape = F.when((over > 0.5) & (v > 0), v * v / (1 - over + v)).otherwise(0.0)
+    return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), over - away - shape))
 
 
 def to_cxcywh(b: Box) -> Column:
@@ -68,13 +69,10 @@ def to_xywh(b: Box) -> Column:
 def clip(b: Box, width: Column | float, height: Column | float, margin: float = 0.0) -> Box:
     """The box inside the image, at least ``margin`` wide and high."""
     w, h = (x if isinstance(x, Column) else F.lit(float(x)) for x in (width, height))
-    zero = F.lit(0.0)
-    return Box(
-        F.least(F.greatest(zero, b.x1), w - margin),
-        F.least(F.greatest(zero, b.y1), h - margin),
-        F.least(F.greatest(F.lit(float(margin)), b.x2), w),
-        F.least(F.greatest(F.lit(float(margin)), b.y2), h),
-    )
+    zero, least = F.lit(0.0), F.lit(float(margin))
+    x1, y1 = F.least(F.greatest(zero, b.x1), w - margin), F.least(F.greatest(zero, b.y1), h - margin)
+    x2, y2 = F.least(F.greatest(least, b.x2), w), F.least(F.greatest(least, b.y2), h)
+    return Box(x1, y1, x1 + F.greatest(least, x2 - x1), y1 + F.greatest(least, y2 - y1))
 
 
 def scale_and_pad(b: Box, scale: float, pad_x: float, pad_y: float, width: float, height: float) -> Box:

@@ -25,13 +25,25 @@ def calibration_error(samples: DataFrame, bins: int) -> DataFrame:
     )
 
 
-def diagnostics(answers: DataFrame, probabilities: str = "probabilities", truth: str = "truth") -> DataFrame:
-    """Sums of probabilities (min, max, mean, sample deviation) and mean/median probability of the truth."""
+def diagnostics(answers: DataFrame, probabilities: str = "probabilities", truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """Sums of probabilities (min, max, mean, sample deviation), and the probability of the truth: over all, correct and wrong answers.
+
+    Answers whose truth has no probability count for the sums only.
+    """
     total = F.aggregate(F.map_values(probabilities), F.lit(0.0), lambda s, x: s + x)
-    p = F.coalesce(F.try_element_at(probabilities, F.col(truth)), F.lit(0.0))
-    return answers.select(total.alias("s"), p.alias("p")).agg(
-        F.min("s").alias("sum_min"), F.max("s").alias("sum_max"), F.avg("s").alias("sum_mean"), F.stddev_samp("s").alias("sum_std"), F.avg("p").alias("truth_mean"), F.percentile("p", 0.5).alias("truth_median")
-    )
+    right = F.coalesce(F.col(predicted) == F.col(truth), F.lit(False))
+    rows = answers.select(total.alias("s"), F.try_element_at(probabilities, F.col(truth)).alias("p"), right.alias("ok"))
+    good, bad = F.when(F.col("ok"), F.col("p")), F.when(~F.col("ok"), F.col("p"))
+    named = [("truth", F.col("p")), ("correct", good), ("wrong", bad)]
+    parts = [x for name, p in named for x in (F.avg(p).alias(f"{name}_mean"), F.percentile(p, 0.5).alias(f"{name}_median"), F.count(p).alias(f"{name}_n"))]
+    return rows.agg(F.min("s").alias("sum_min"), F.max("s").alias("sum_max"), F.avg("s").alias("sum_mean"), F.stddev_samp("s").alias("sum_std"), F.min("p").alias("truth_min"), F.max("p").alias("truth_max"), *parts)
+
+
+def predicted_probabilities(answers: DataFrame, probabilities: str = "probabilities", truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """Probability of the predicted option (min, max, mean), over all, correct and wrong answers; predictions without one don't count."""
+    right = F.coalesce(F.col(predicted) == F.col(truth), F.lit(False))
+    rows = answers.select(F.try_element_at(probabilities, F.col(predicted)).alias("p"), right.alias("ok")).where("p is not null")
+    return rows.agg(F.min("p").alias("min"), F.max("p").alias("max"), F.avg("p").alias("mean"), F.avg(F.when(F.col("ok"), F.col("p"))).alias("correct_mean"), F.avg(F.when(~F.col("ok"), F.col("p"))).alias("wrong_mean"))
 
 
 def accuracy_above(answers: DataFrame, confidence: str, correct: str, at: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:

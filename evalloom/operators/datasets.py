@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalloom.operators.positions import numbered
+
 
 def text_map(items: DataFrame, item: str, captions: str) -> DataFrame:
-    """One row for each caption: ``text_idx`` (dense, by item and place), ``item_idx``, the text."""
-    rows = items.select(F.dense_rank().over(Window.orderBy(item)).alias("item_idx"), F.col(item).alias("item"), F.posexplode(captions).alias("pos", "text"))
-    order = Window.orderBy("item_idx", "pos")
-    return rows.select((F.row_number().over(order) - 1).alias("text_idx"), (F.col("item_idx") - 1).alias("item_idx"), "item", "text")
+    """One row for each caption: ``text_idx`` (dense, by item and place), ``item_idx`` (by item), the text."""
+    places = numbered(items.select(F.col(item).alias("item")).distinct(), ["item"], "item_idx")
+    rows = items.select(F.col(item).alias("item"), F.posexplode(captions).alias("pos", "text")).join(places, "item")
+    return numbered(rows, ["item_idx", "pos", "text"], "text_idx").select("text_idx", "item_idx", "item", "text")
 
 
 def negatives(items: DataFrame, item: str, *columns: str) -> DataFrame:

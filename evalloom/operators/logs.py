@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 from evalloom.functions.text import transcript_line
 
-#: Seconds in a period.
-PERIOD_SECONDS = {"nba": 720, "nhl": 1200, "soccer": 2700}
+#: Seconds in a period by league; other basketball leagues have the last.
+PERIOD_SECONDS = {"3_NBA": 720, "68_China. CBA": 720, "137_United States. NBA G-League": 720, "6_NCAA Division I": 1200}
+OTHER_PERIOD_SECONDS = 600
+#: Classes of actions at one time, in order; actions that aren't named stand between assists and scores.
+ACTION_CLASS = {"Foul": 1, "Technical foul": 1, "Pick'n'Roll": 1, "Post": 1, "Screen": 1, "Assisting": 2, "1+": 4, "1-": 4, "2+": 4, "2-": 4, "3+": 4, "3-": 4}
+OTHER_CLASS = 3
+
+
+def period_seconds(league: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for k, v in sorted(PERIOD_SECONDS.items()) for x in (k, v)))
+    return F.coalesce(F.try_element_at(table, league), F.lit(OTHER_PERIOD_SECONDS))
 
 
 def select_actions(log: DataFrame, actions: Sequence[str], columns: Sequence[str], order: Sequence[str], period: int | None = None, period_column: str = "period") -> DataFrame:
@@ -26,10 +35,10 @@ def segment(log: DataFrame, start: float, length: float = 60.0, clock: str = "se
     return log.where(F.col(clock).between(start, start + length))
 
 
-def play_order(log: DataFrame, rank: Mapping[str, int], period: str = "period", clock: str = "second") -> Column:
-    """Struct to sort by: period, clock, class of the action (unknown last)."""
-    table = F.create_map(*(F.lit(x) for k, v in sorted(rank.items()) for x in (k, v)))
-    return F.struct(F.col(period), F.col(clock), F.coalesce(F.try_element_at(table, F.col("action_name")), F.lit(len(rank))))
+def play_order(log: DataFrame, rank: Mapping[str, int] | None = None, period: str = "period", clock: str = "second", other: int = OTHER_CLASS) -> Column:
+    """Struct to sort by: period, clock, class of the action (``other`` if it has none)."""
+    table = F.create_map(*(F.lit(x) for k, v in sorted((rank or ACTION_CLASS).items()) for x in (k, v)))
+    return F.struct(F.col(period).alias("_period"), F.col(clock).alias("_clock"), F.coalesce(F.try_element_at(table, F.col("action_name")), F.lit(other)).alias("_class"))
 
 
 def play_by_play(log: DataFrame, game: str, order: Column, period: str, sentence: Column) -> DataFrame:

@@ -60,9 +60,18 @@ def dual_softmax(scored: DataFrame, by: str, score: str = "score") -> DataFrame:
     return scored.withColumn(score, F.col(score) * grown / F.sum(grown).over(w))
 
 
-def both_directions(ranks: DataFrame, tier: str, direction: str, at: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """R@K to two places by tier and direction, and ``r_mean``: the mean of the rounded values of both directions."""
+def both_directions(ranks: DataFrame, direction: str, tier: str | None = None, tiered: str = "t2v", at: Sequence[int] = RECALL_AT) -> DataFrame:
+    """R@K to two places by direction, and ``r_mean``, the mean of the rounded values; ``overall`` the mean of the directions' means.
+
+    With a tier, rows of the direction ``tiered`` by tier as well. Ranks that are null (no truth) don't count.
+    """
     columns = [F.round(100 * F.avg((F.col("rank") < k).cast("double")), 2).alias(f"r_at_{k}") for k in at]
-    each = ranks.groupBy(tier, direction).agg(*columns)
-    mean = sum((F.col(f"r_at_{k}") for k in at[1:]), F.col(f"r_at_{at[0]}")) / len(at)
-    return each.withColumn("r_mean", F.round(F.avg(mean).over(Window.partitionBy(tier)), 4))
+    mean = F.round(sum((F.col(f"r_at_{k}") for k in at[1:]), F.col(f"r_at_{at[0]}")) / len(at), 2)
+    known = ranks.where("rank is not null")
+    each = known.groupBy(direction).agg(*columns).withColumn("r_mean", mean)
+    overall = each.agg(F.lit("overall").alias(direction), *(F.lit(None).cast("double").alias(f"r_at_{k}") for k in at), F.round(F.avg("r_mean"), 2).alias("r_mean"))
+    out = each.unionByName(overall).withColumn("tier", F.lit(None).cast("string"))
+    if tier is None:
+        return out
+    by_tier = known.where(F.col(direction) == tiered).groupBy(direction, F.col(tier).cast("string").alias("tier")).agg(*columns).withColumn("r_mean", mean)
+    return out.unionByName(by_tier)

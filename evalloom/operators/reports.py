@@ -24,22 +24,28 @@ def ease(r100: Column) -> Column:
     return F.when(r100 >= EASY, "EASY").when(r100 >= MODERATE, "MODERATE").otherwise("HARD")
 
 
-def retrievability(rows: DataFrame, by: Sequence[str] = ("attribute",), least_n: int = 10) -> DataFrame:
-    """r100 and median rank weighted by n, with a verdict."""
-    out = rows.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum(F.col("r100") * F.col("n")) / F.sum("n")).alias("r100"), (F.sum(F.col("med_rank") * F.col("n")) / F.sum("n")).alias("med_rank"))
-    return out.where(F.col("total") >= least_n).withColumn("verdict", ease(F.col("r100")))
+def retrievability(rows: DataFrame, by: Sequence[str] = ("sport", "attribute"), least_n: int = 5, least_total: int = 10) -> DataFrame:
+    """r100 and median rank weighted by n, over entries of ``least_n`` or more rows, of attributes of ``least_total`` or more; with a verdict."""
+    weighed = rows.where(F.col("n") >= least_n).groupBy(*by)
+    out = weighed.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"), (F.sum(F.col("r100") * F.col("n")) / F.sum("n")).alias("r100"), (F.sum(F.col("med_rank") * F.col("n")) / F.sum("n")).alias("med_rank"))
+    return out.where(F.col("total") >= least_total).withColumn("verdict", ease(F.col("r100")))
 
 
 def cross_group_patterns(rows: DataFrame, group: str, easy: float = 35.0, hard: float = 25.0, least_groups: int = 2) -> DataFrame:
-    """Attributes in several groups: mean of the groups' r100 and whether they are easy or hard throughout."""
-    per = rows.groupBy("attribute", group).agg(F.avg("r100").alias("r"))
-    out = per.groupBy("attribute").agg(F.count(F.lit(1)).alias("groups"), F.avg("r").alias("mean_r100")).where(F.col("groups") >= least_groups)
+    """Attributes that several groups know well enough: plain mean of the groups' weighted r100, and whether it is easy or hard."""
+    per = retrievability(rows, (group, "attribute"))
+    out = per.groupBy("attribute").agg(F.count(F.lit(1)).alias("groups"), F.avg("r100").alias("mean_r100")).where(F.col("groups") >= least_groups)
     return out.withColumn("pattern", F.when(F.col("mean_r100") >= easy, "easy").when(F.col("mean_r100") < hard, "hard").otherwise("mixed"))
 
 
-def extremes(rows: DataFrame, by: Sequence[str], name: str, value: str) -> DataFrame:
-    """The hardest and easiest name of each group (ties: the smaller name is harder, the larger easier)."""
-    return rows.groupBy(*by).agg(F.min_by(name, F.struct(value, name)).alias("hardest"), F.max_by(name, F.struct(value, name)).alias("easiest"))
+def extremes(rows: DataFrame, by: Sequence[str], name: str, value: str, least_n: int = 10) -> DataFrame:
+    """The hardest and easiest name of each group by the plain mean of its entries (one a sport) of ``least_n`` or more rows.
+
+    Ties: the smaller name is harder, the larger easier.
+    """
+    means = rows.where(F.col("n") >= least_n).groupBy(*by, name).agg(F.avg(value).alias("_mean"))
+    key = F.struct("_mean", name)
+    return means.groupBy(*by).agg(F.min_by(name, key).alias("hardest"), F.min("_mean").alias("hardest_mean"), F.max_by(name, key).alias("easiest"), F.max("_mean").alias("easiest_mean"))
 
 
 def ranked_extremes(rows: DataFrame, by: Sequence[str], k: int = 15) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Hybrid retrieval: BM25 over an inverted index, exact vector search, rank fusion, grouping, entity resolution."""
+"""Hybrid retrieval: BM25 over an inverted index, exact vector search, rank fusion, grouping."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,10 +80,14 @@ def normal_scores(scored: DataFrame, kind: str) -> DataFrame:
     return scored.withColumn("score", F.round(s, 4))
 
 
-def group_by_document(hits: DataFrame, most: int = 500, sep: str = " ... ") -> DataFrame:
-    """Best score of each document and its distinct sentences, best first, joined and truncated (``query_id, doc_id, score, sentence``)."""
+def group_by_document(hits: DataFrame, most: int = 500, sep: str = "\n... ", mark: str = " ... (truncated)", k: int | None = None, least: float = 0.0) -> DataFrame:
+    """The best k documents at ``least`` or above: best score and distinct sentences, best first, joined and cut (``query_id, doc_id, score, sentence``)."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("sentence").alias("t"))))
-    return hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.substring(F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["t"])), sep), 1, most).alias("highlight"))
+    joined = F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["t"])), sep)
+    docs = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), joined.alias("t")).where(F.col("score") >= least)
+    text = F.when(F.length("t") > most, F.concat(F.substring("t", 1, most), F.lit(mark))).otherwise(F.col("t"))
+    docs = docs.select("query_id", "doc_id", "score", text.alias("highlight"))
+    return docs if k is None else top_k(docs, k, "doc_id").drop("rank")
 
 
 def sentence_windows(docs: DataFrame, doc_id: str, text: str, reach: int = 3) -> DataFrame:
@@ -96,32 +99,6 @@ def sentence_windows(docs: DataFrame, doc_id: str, text: str, reach: int = 3) ->
     return rows.select("doc_id", "sentences", F.posexplode("sentences").alias("pos", "sentence")).select("doc_id", "pos", "sentence", F.array_join(F.slice("sentences", start, stop - start + 1), " ").alias("window"))
 
 
-def resolve_entities(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical", threshold: float = 0.6) -> DataFrame:
-    """``name, resolved``: equal without case, else the best match ratio of ``threshold`` or more, else the shortest one that holds the name.
-
-    Exact matches are an equi-join. The rest, distinct, meets the canonical names in Arrow batches; these are a
-    dimension whose collected size is bounded by ``canon``'s caller (one sport's teams or players).
-    """
-    exact = names.select(F.col(name).alias("name")).distinct().join(canon.select(F.col(canonical).alias("resolved")).dropDuplicates(["resolved"]), F.lower("name") == F.lower("resolved"), "left")
-    exact = exact.groupBy("name").agg(F.min("resolved").alias("resolved"))
-    known = sorted(r[0] for r in canon.select(canonical).distinct().collect() if r[0])
-
-    @F.pandas_udf("string")
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from difflib import SequenceMatcher
-
-        for batch in batches:
-            out = []
-            for n in batch:
-                low = (n or "").lower()
-                best = max(((SequenceMatcher(None, low, k.lower()).ratio(), k) for k in known), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0.0, None))
-                inside = sorted((k for k in known if low and low in k.lower()), key=lambda k: (len(k), k))
-                out.append(best[1] if best[0] >= threshold else inside[0] if inside else None)
-            yield pd.Series(out, dtype=object)
-
-    return exact.select("name", F.coalesce("resolved", closest(F.when(F.col("resolved").isNull(), F.col("name")))).alias("resolved"))
-
-
 def date_filter(column: Column, value: str) -> Column:
     """``D``, ``D..``, ``..D`` and ``D..D`` (inclusive)."""
     if ".." not in value:

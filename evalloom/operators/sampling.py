@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evalloom.operators.positions import blocks_of, numbered
 
 
 def take(rows: DataFrame, strategy: str, order: str, seed: int = 0) -> DataFrame:
@@ -47,9 +51,9 @@ def slice_rows(rows: DataFrame, start: int, end: int | None, order: str) -> Data
 def replica_shard(rows: DataFrame, replicas: int, order: str, seed: int | None = None, skip: int = 0) -> DataFrame:
     """``replica``: equal contiguous blocks, what doesn't divide evenly left out, optionally in a seeded order, after ``skip`` rows."""
     by = [F.xxhash64(F.lit(seed), F.col(order)), F.col(order)] if seed is not None else [F.col(order)]
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*by)) - 1)
-    each = rows.count() // replicas
-    kept = numbered.where(F.col("_n") < each * replicas).withColumn("replica", F.floor(F.col("_n") / each).cast("int"))
+    at = numbered(rows, by, "_n")
+    each = at.count() // replicas
+    kept = at.where(F.col("_n") < each * replicas).withColumn("replica", F.floor(F.col("_n") / each).cast("int"))
     return kept.where(F.col("_n") % each >= skip).drop("_n")
 
 
@@ -63,11 +67,29 @@ def weighted_union(parts: Sequence[tuple[DataFrame, int]]) -> DataFrame:
 
 
 def frame_indices(total: Column, video_fps: Column, sample_fps: float) -> Column:
-    """Distinct frame numbers at a target rate: rounded half-even, inside the video."""
-    n = F.greatest(F.lit(1), F.bround(total / video_fps * sample_fps).cast("int"))
-    step = (total - 1) / F.greatest(n - 1, F.lit(1))
-    picks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(F.greatest(F.bround(i * step).cast("int"), F.lit(0)), (total - 1).cast("int")))
-    return F.array_distinct(picks)
+    """Distinct frame numbers at a target rate: steps of ``video_fps / sample_fps`` from 0, rounded half-even, inside the video.
+
+    If the video lasts less than two samples: the first frame only. Null without frames.
+    """
+    step = video_fps / sample_fps
+    samples = F.floor(total / video_fps * sample_fps)
+    picks = F.transform(F.sequence(F.lit(0), (F.ceil(total / step) - 1).cast("int")), lambda i: F.least(F.bround(i * step).cast("int"), (total - 1).cast("int")))
+    return F.when(total > 0, F.when(samples <= 1, F.array(F.lit(0))).otherwise(F.array_distinct(picks)))
+
+
+def spread_picks(games: Column, frames: Column, n: int) -> Column:
+    """``n`` picks over several games (arrays of ids and frame counts): as many of each, the first ones one more; evenly spaced, truncated.
+
+    An array of struct(game, frame). Games without frames give none.
+    """
+
+    def of_game(game: Column, i: Column) -> Column:
+        total = F.get(frames, i)
+        mine = F.floor(F.lit(n) / F.size(games)).cast("int") + F.when(i < F.pmod(F.lit(n), F.size(games)), 1).otherwise(0)
+        step = (total - 1) / F.greatest(mine - 1, F.lit(1))
+        return F.when((mine > 0) & (total > 0), F.transform(F.sequence(F.lit(0), mine - 1), lambda k: F.struct(game.alias("game"), (k * step).cast("int").alias("frame"))))
+
+    return F.flatten(F.filter(F.transform(games, of_game), lambda x: x.isNotNull()))
 
 
 def uniform_indices(total: Column, n: int) -> Column:
@@ -83,9 +105,7 @@ def middle_indices(total: Column, n: int) -> Column:
 
 def megabatches(rows: DataFrame, size: int, length: str, order: str, seed: int = 0) -> DataFrame:
     """``megabatch`` and ``place``: a seeded order cut into runs of ``size``, each by falling length."""
-    n = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(order)), F.col(order))) - 1
-    cut = rows.withColumn("megabatch", F.floor(n / size).cast("int"))
-    return cut.withColumn("place", F.row_number().over(Window.partitionBy("megabatch").orderBy(F.desc(length), order)) - 1)
+    return blocks_of(rows, [F.xxhash64(F.lit(seed), F.col(order)), F.col(order)], size, "megabatch", "place", [F.desc(length), F.col(order)])
 
 
 def modality_megabatches(rows: DataFrame, size: int, length: str, order: str, seed: int = 0) -> DataFrame:
@@ -96,23 +116,34 @@ def modality_megabatches(rows: DataFrame, size: int, length: str, order: str, se
 
 
 def even_chunks(rows: DataFrame, batch: str, chunks: int, length: str, order: str) -> DataFrame:
-    """``chunk`` within each batch: as many rows in each, the longest row next to the lightest chunk that has room."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    def deal(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([length, order], ascending=[False, True])
-        room = -(-len(part) // chunks)
-        total, count, to = [0.0] * chunks, [0] * chunks, []
-        for n in part[length]:
-            k = min((c for c in range(chunks) if count[c] < room), key=lambda c: (total[c], c))
-            total[k] += n
-            count[k] += 1
-            to.append(k)
-        return part.assign(chunk=to)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())])
-    return rows.groupBy(batch).applyInPandas(deal, schema)
+    """``chunk`` within each batch, whose rows come by falling length: each next row to the lightest chunk that isn't full.
+
+    Chunks are full at an equal number of rows. Batches that don't divide evenly are dealt in turn instead. Ties of length come by
+    ``order``, ties of weight go to the first chunk. A task streams one batch after the other and holds a batch's chunks only.
+    """
+    names = rows.columns
+    sized = rows.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(batch))).select(batch, length, order, "_rows", F.struct(*names).alias("_r"))
+    out = T.StructType([T.StructField("_r", sized.schema["_r"].dataType), T.StructField("chunk", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, started, weights, held, place = None, False, [], [], 0
+        for some in batches:
+            to = []
+            for b, n, total in zip(*(some.column(c).to_pylist() for c in (batch, length, "_rows")), strict=True):
+                if not started or b != key:
+                    key, started, weights, held, place = b, True, [0.0] * chunks, [0] * chunks, 0
+                if total % chunks:
+                    k = place % chunks
+                else:
+                    k = min((c for c in range(chunks) if held[c] < total // chunks), key=lambda c: (weights[c], c))
+                weights[k] += n or 0
+                held[k] += 1
+                place += 1
+                to.append(k)
+            yield pa.RecordBatch.from_arrays([some.column("_r"), pa.array(to, pa.int32())], ["_r", "chunk"])
+
+    dealt = sized.repartition(batch).sortWithinPartitions(batch, F.desc(length), order).mapInArrow(run, out)
+    return dealt.select("_r.*", "chunk")
 
 
 def best_of_n(rows: DataFrame, key: str, score: str, n: int, tie: str) -> DataFrame:

@@ -169,13 +169,23 @@ def generalised_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.select("clip_id", "frame_id", "pred_id", "truth_id", geometry.generalised_iou(Box.of("p_"), Box.of("t_")).alias("giou")))
 
 
-@query(_SQL + "SELECT clip_id, frame_id, track_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h, least(greatest(0, x1), 8) AS cl, (x2 - x1) * (y2 - y1) BETWEEN 15 AND 25 AS in_range FROM pred WHERE x2 > x1 AND y2 > y1")
+@query(_SQL + """, c AS (SELECT *, least(greatest(0, x1), 2) AS cl, least(greatest(6, x2), 8) AS cr FROM pred) SELECT clip_id, frame_id, track_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h, cl, greatest(6, cr - cl)::DOUBLE AS cw, (x2 - x1) * (y2 - y1) BETWEEN 15 AND 25 AS in_range FROM c WHERE x2 > x1 AND y2 > y1""")
 def box_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversions, validity, area range, clipping."""
+    """Conversions, validity, area range, clipping to a width of six at least."""
     b = Box.of()
     pred = _boxes(spark, sf_dir)[0].where(geometry.valid(b))
-    c = geometry.to_cxcywh(b)
-    return pred.select("clip_id", "frame_id", "track_id", *(c[k].alias(k) for k in ("cx", "cy", "w", "h")), geometry.clip(b, 8.0, 8.0).x1.alias("cl"), b.area.between(15, 25).alias("in_range"))
+    c, clipped = geometry.to_cxcywh(b), geometry.clip(b, 8.0, 8.0, 6.0)
+    return pred.select("clip_id", "frame_id", "track_id", *(c[k].alias(k) for k in ("cx", "cy", "w", "h")), clipped.x1.alias("cl"), (clipped.x2 - clipped.x1).alias("cw"), b.area.between(15, 25).alias("in_range"))
+
+
+@query(_SQL + """, o AS (SELECT p.clip_id, p.frame_id, p.track_id AS pred_id, t.track_id AS truth_id, greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) AS i, (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS areas,
+((p.x1 + p.x2 - t.x1 - t.x2) / 2) ** 2 + ((p.y1 + p.y2 - t.y1 - t.y2) / 2) ** 2 AS d, (greatest(p.x2, t.x2) - least(p.x1, t.x1)) ** 2 + (greatest(p.y2, t.y2) - least(p.y1, t.y1)) ** 2 AS c,
+4 / pi() ** 2 * (atan((t.x2 - t.x1) / (t.y2 - t.y1)) - atan((p.x2 - p.x1) / (p.y2 - p.y1))) ** 2 AS v FROM pred p JOIN truth t USING (clip_id, frame_id)), x AS (SELECT *, i / (areas - i) AS iou FROM o)
+SELECT clip_id, frame_id, pred_id, truth_id, round(1 - greatest(-1, least(1, iou - d / c - CASE WHEN iou > 0.5 THEN v * v / (1 - iou + v) ELSE 0 END)), 6) AS loss FROM x""")
+def complete_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete IoU loss."""
+    pairs = boxes.frame_pairs(*_boxes(spark, sf_dir))
+    return rounded(pairs.select("clip_id", "frame_id", "pred_id", "truth_id", geometry.complete_iou_loss(Box.of("p_"), Box.of("t_")).alias("loss")))
 
 
 @query("""WITH d AS (SELECT p_partkey, (640 + p_size * 10)::DOUBLE AS w, (360 + p_size)::DOUBLE AS h FROM part), s AS (SELECT *, greatest(832::DOUBLE / w, 480::DOUBLE / h) AS scale FROM d)

@@ -46,13 +46,21 @@ def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calibration.calibration_error(calibration.option_samples(answers(spark, sf_dir)), 10))
 
 
-@query(ANSWERS_SQL + """, x AS (SELECT pa+pb+pc+pd AS s, CASE truth WHEN 'A' THEN pa WHEN 'B' THEN pb WHEN 'C' THEN pc ELSE pd END AS p FROM answers)
-SELECT round(min(s), 6) AS sum_min, round(max(s), 6) AS sum_max, round(avg(s), 6) AS sum_mean, round(stddev_samp(s), 6) AS sum_std, round(avg(p), 6) AS truth_mean, round(median(p), 6) AS truth_median FROM x""")
+@query(ANSWERS_SQL + """, x AS (SELECT pa+pb+pc+pd AS s, CASE truth WHEN 'A' THEN pa WHEN 'B' THEN pb WHEN 'C' THEN pc WHEN 'D' THEN pd END AS p, coalesce(predicted = truth, false) AS ok FROM answers)
+SELECT round(min(s), 6) AS sum_min, round(max(s), 6) AS sum_max, round(avg(s), 6) AS sum_mean, round(stddev_samp(s), 6) AS sum_std, round(min(p), 6) AS truth_min, round(max(p), 6) AS truth_max, round(avg(p), 6) AS truth_mean, round(median(p), 6) AS truth_median, count(p) AS truth_n,
+round(avg(p) FILTER (ok), 6) AS correct_mean, round(median(p) FILTER (ok), 6) AS correct_median, count(p) FILTER (ok) AS correct_n, round(avg(p) FILTER (NOT ok), 6) AS wrong_mean, round(median(p) FILTER (NOT ok), 6) AS wrong_median, count(p) FILTER (NOT ok) AS wrong_n FROM x""")
 def calibration_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of probabilities and probability of the truth."""
+    """Sums of probabilities and probability of the truth, over all, correct and wrong answers."""
     return rounded(calibration.diagnostics(answers(spark, sf_dir)))
 
 
+@query(ANSWERS_SQL + """, x AS (SELECT CASE predicted WHEN 'A' THEN pa WHEN 'B' THEN pb WHEN 'C' THEN pc WHEN 'D' THEN pd END AS p, coalesce(predicted = truth, false) AS ok FROM answers)
+SELECT round(min(p), 6) AS min, round(max(p), 6) AS max, round(avg(p), 6) AS mean, round(avg(p) FILTER (ok), 6) AS correct_mean, round(avg(p) FILTER (NOT ok), 6) AS wrong_mean FROM x""")
+def predicted_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of the predicted option, over all, correct and wrong answers."""
+    return rounded(calibration.predicted_probabilities(answers(spark, sf_dir)))
+
+
 @query(ANSWERS_SQL + """, x AS (SELECT greatest(pa, pb, pc, pd) AS c, coalesce(predicted = truth, false) AS ok FROM answers)
 SELECT t AS at_least, count(*) FILTER (WHERE c >= t) AS n, round(avg(CASE WHEN c >= t THEN ok::INT::DOUBLE END), 6) AS accuracy FROM x, (SELECT unnest([0.3::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE]) AS t) GROUP BY t""")
 def accuracy_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import text
-from evalloom.operators import logs, reports, runs, sampling
+from evalloom.operators import datasets, logs, positions, reports, sampling
 from evalloom.plans.catalog import query
 from evalloom.plans.tables import read, rounded
 from evalloom.sources import sinks
@@ -54,12 +54,13 @@ def log_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.select_actions(logs.segment(e, 600, 60), ["click", "purchase"], ["event_id", "user_id", "event_type"], ["event_id"], 1)
 
 
-@query("""WITH e AS (SELECT user_id, event_id, (user_id + event_id) % 3 AS p, event_type FROM events), o AS (SELECT *, lag(p) OVER w AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY p, event_id))
-SELECT user_id, string_agg(CASE WHEN b IS DISTINCT FROM p THEN 'Period ' || p || ':' || chr(10) || event_type ELSE event_type END, chr(10) ORDER BY p, event_id) AS text FROM o GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id, event_id, (user_id + event_id) % 3 AS p, event_id % 5 AS s, event_type, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 4 ELSE 3 END AS c FROM events), o AS (SELECT *, lag(p) OVER w AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY p, s, c, event_id))
+SELECT user_id, string_agg(CASE WHEN b IS DISTINCT FROM p THEN 'Period ' || p || ':' || chr(10) || event_type ELSE event_type END, chr(10) ORDER BY p, s, c, event_id) AS text FROM o GROUP BY 1""")
 def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of a game in order, a header where the period changes."""
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.pmod(F.col("user_id") + F.col("event_id"), F.lit(3)).alias("p"), "event_type")
-    return logs.play_by_play(e, "user_id", F.struct("p", "event_id"), "p", F.col("event_type"))
+    """Sentences of a game by period, clock and class of action (other actions before scores), a header where the period changes."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.pmod(F.col("user_id") + F.col("event_id"), F.lit(3)).alias("p"), (F.col("event_id") % 5).alias("second"), F.col("event_type").alias("action_name"))
+    order = logs.play_order(e, {"purchase": 1, "click": 4}, "p")
+    return logs.play_by_play(e, "user_id", F.struct(order.alias("o"), "event_id"), "p", F.col("action_name"))
 
 
 @query("SELECT n_name AS team, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS players FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -69,14 +70,11 @@ def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.rosters(c.select(F.col("n_name").alias("team"), F.col("c_mktsegment").alias("player")), "team", "player")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang IS DISTINCT FROM 'en' AND doc_id % 40 = 0)")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id // 4 NOT IN (SELECT doc_id // 4 FROM documents WHERE lang IS DISTINCT FROM 'en')")
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games with any period in another language go."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    wrong = d.where("doc_id % 40 = 0")
-    gate = logs.language_gate(wrong, "source", "lang", "en").select("source").distinct()
-    bad = wrong.select("source").distinct().join(gate, "source", "left_anti")
-    return d.join(bad, "source", "left_anti").select("doc_id", "lang")
+    """Games (four documents each) with any part in another language go."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 4).alias("game"))
+    return logs.language_gate(d, "game", "lang", "en").select("doc_id", "lang")
 
 
 # -- texts ---------------------------------------------------------------------------------------------------------
@@ -115,7 +113,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg('[' || role || '] ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
 def chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as one text."""
+    """Turns of a conversation as one text."""
     return sinks.transcript(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
@@ -142,16 +140,34 @@ def ceil_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, copy::INT AS copy FROM nation, (SELECT unnest([1, 2, 3]) AS copy) UNION ALL SELECT r_regionkey, 1 FROM region")
 def weighted_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Datasets repeated by weight."""
+    """Datasets repeated by weight."""
     return sampling.weighted_union([(read(spark, sf_dir, "nation").select("n_nationkey"), 3), (read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey")), 1)])
 
 
 @query("SELECT p_partkey, list_transform(range(8), lambda i: trunc(i * ((p_size + 19)::DOUBLE / 7))::INT) AS frames FROM part")
 def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uniform frame numbers, both ends included, truncated."""
+    """Uniform frame numbers, both ends included, truncated."""
     return read(spark, sf_dir, "part").select("p_partkey", sampling.uniform_indices((F.col("p_size") + 20).cast("double"), 8).alias("frames"))
 
 
+@query("""WITH v AS (SELECT p_partkey, p_size * 7 AS total, 25 + p_partkey % 6 AS fps FROM part), s AS (SELECT *, fps / 0.7::DOUBLE AS step FROM v)
+SELECT p_partkey, CASE WHEN floor(total / fps::DOUBLE * 0.7::DOUBLE) <= 1 THEN [0] ELSE list_sort(list_distinct(list_transform(range(ceil(total / step)::BIGINT), lambda i: least(round_even(i * step, 0)::INT, total::INT - 1)))) END AS frames FROM s""")
+def fps_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame numbers at a target rate, in steps from 0."""
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", sampling.frame_indices((F.col("p_size") * 7).cast("int"), (25 + F.col("p_partkey") % 6).cast("double"), 0.7).alias("frames"))
+
+
+@query("""WITH g AS (SELECT p_partkey, unnest([{'g': 'a', 't': p_size, 'i': 0}, {'g': 'b', 't': p_size * 3, 'i': 1}, {'g': 'c', 't': p_size + 5, 'i': 2}]) AS x FROM part),
+k AS (SELECT p_partkey, x.g AS game, x.i AS i, x.t AS t, 3 + (x.i < 2)::INT AS mine, unnest(range(3 + (x.i < 2)::INT)) AS k FROM g)
+SELECT p_partkey, list(game || ':' || trunc(k * ((t - 1)::DOUBLE / (mine - 1)))::INT ORDER BY i, k) AS picks FROM k GROUP BY 1""")
+def frames_over_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks spread over several games, the first ones one more."""
+    n = F.col("p_size")
+    picks = sampling.spread_picks(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(n, n * 3, n + 5), 11)
+    return read(spark, sf_dir, "part").select("p_partkey", F.transform(picks, lambda x: F.concat(x["game"], F.lit(":"), x["frame"].cast("string"))).alias("picks"))
+
+
 @query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS latest, median(l_quantity) OVER w AS median, round(avg(l_quantity) OVER w, 6) AS avg, round(avg(l_quantity) OVER a, 6) AS global_avg, sum(l_quantity) OVER a AS total
 FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS 49 PRECEDING), a AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)""")
 def sliding_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,22 +201,80 @@ def megabatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.modality_megabatches(p, 64, "len", "p_partkey", 7)
 
 
+@query("WITH p AS (SELECT p_brand, p_partkey, p_size, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) - 1 AS k FROM part) SELECT p_brand, count(*) AS n, list(p_partkey ORDER BY k) FILTER (WHERE n % 4 > 0 AND k % 4 = 1) AS second FROM p GROUP BY 1")
+def dealt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that don't divide evenly are dealt in turn; here the second chunk of each."""
+    p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
+    chunks = sampling.even_chunks(p, "p_brand", 4, "p_size", "p_partkey").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("p_brand")))
+    row = F.when((F.col("n") % 4 > 0) & (F.col("chunk") == 1), F.struct(-F.col("p_size"), "p_partkey"))
+    found = chunks.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(row)).alias("r"))
+    return found.select("p_brand", "n", F.when(F.size("r") > 0, F.transform("r", lambda x: x["p_partkey"])).alias("second"))
+
+
 @query()
 def even_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many rows in each chunk, the longest to the lightest (sequential)."""
     return sampling.even_chunks(read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", 4, "p_size", "p_partkey")
 
 
+# -- positions -----------------------------------------------------------------------------------------------------
+
+
+@query("WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders), b AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position FROM orders) SELECT position, o_orderkey, o_custkey, k FROM a JOIN b USING (position)")
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames side by side, row by row, of checked length."""
+    o = read(spark, sf_dir, "orders")
+    return positions.joined_by_position([(o.select("o_orderkey"), ["o_orderkey"]), (o.select("o_custkey", F.col("o_orderkey").alias("k")), ["o_custkey", "k"])])
+
+
+@query("WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, (SELECT count(*) // 7 FROM orders) AS e FROM orders) SELECT o_orderkey, (n // e)::INT AS replica FROM n WHERE n < 7 * e AND n % e >= 3")
+def replica_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal contiguous blocks, the rest left out, resumed after three rows."""
+    return sampling.replica_shard(read(spark, sf_dir, "orders").select("o_orderkey"), 7, "o_orderkey", skip=3)
+
+
+@query("""WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS item_idx, string_split(coalesce(text, ''), chr(10)) AS c FROM documents), t AS (SELECT item_idx, doc_id, unnest(range(len(c))) AS pos, unnest(c) AS text FROM i)
+SELECT row_number() OVER (ORDER BY item_idx, pos) - 1 AS text_idx, item_idx, doc_id AS item, text FROM t""")
+def caption_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: dense numbers of captions and their items."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("captions"))
+    return datasets.text_map(d, "doc_id", "captions")
+
+
+@query("""SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ordinal, 'task-' || (row_number() OVER (ORDER BY item_id) - 1) AS custom_id, text AS prompt FROM benchmark""")
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request lines numbered by key, and their keys."""
+    lines = sinks.batch_requests(read(spark, sf_dir, "benchmark"), "text", "judge", "item_id")
+    return lines.select("item_id", "ordinal", F.get_json_object("value", "$.custom_id").alias("custom_id"), F.get_json_object("value", "$.body.messages[0].content").alias("prompt"))
+
+
+@query("""WITH p AS (SELECT 0 AS part, s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n FROM supplier UNION ALL SELECT 1, c_custkey, row_number() OVER (ORDER BY c_custkey DESC) - 1, count(*) OVER () FROM customer UNION ALL SELECT 2, p_partkey, row_number() OVER (ORDER BY p_partkey) - 1, count(*) OVER () FROM part)
+SELECT part, key, row_number() OVER (ORDER BY (2 * k + 1) / (2.0::DOUBLE * n), part) - 1 AS position FROM p""")
+def proportional_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: sources interleaved in proportion to their lengths, each in its own order."""
+    s, c, p = (read(spark, sf_dir, t).select(F.col(k).alias("key")) for t, k in (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey")))
+    return positions.interleaved([(s, ["key"]), (c, [F.desc("key")]), (p, ["key"])])
+
+
+@query("SELECT conv_id, list(role || ': ' || CASE WHEN turn % 5 = 4 THEN '' ELSE text END ORDER BY turn) AS messages FROM conversations WHERE role <> 'system' GROUP BY 1")
+def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of human and gpt as messages, empty ones too, other roles left out."""
+    said = F.when(F.col("turn") % 5 != 4, F.col("text"))
+    kind = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", kind.alias("from"), said.alias("value")))).alias("conversations"))
+    return sinks.chat_messages(c).select("conv_id", F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])).alias("messages"))
+
+
 # -- reports -------------------------------------------------------------------------------------------------------
 
-_METRICS = """WITH m AS (SELECT r_name AS sport, p_type AS attribute, p_brand AS category, count(*) AS n, round(avg(l_quantity), 4) AS r100, round(avg(l_discount) * 100, 4) AS med_rank FROM lineitem JOIN part ON l_partkey = p_partkey
+_METRICS = """WITH m AS (SELECT r_name AS sport, p_type AS attribute, p_brand AS category, count(*) AS n, round(avg(l_quantity), 4) AS r100, round(avg(round(l_discount * 100)), 4) AS med_rank FROM lineitem JOIN part ON l_partkey = p_partkey
 JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3) """
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
     l = l.join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))  # noqa: E741
-    return l.groupBy(F.col("r_name").alias("sport"), F.col("p_type").alias("attribute"), F.col("p_brand").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 4).alias("r100"), F.round(F.avg("l_discount") * 100, 4).alias("med_rank"))
+    return l.groupBy(F.col("r_name").alias("sport"), F.col("p_type").alias("attribute"), F.col("p_brand").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 4).alias("r100"), F.round(F.avg(F.round(F.col("l_discount") * 100)), 4).alias("med_rank"))
 
 
 @query(_METRICS + "SELECT attribute, round(avg(r100), 6) AS mean_r100, count(*) AS entries FROM m WHERE n >= 5 GROUP BY 1 HAVING count(*) >= 3")
@@ -209,22 +283,25 @@ def attribute_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.difficulty(_metrics(spark, sf_dir)))
 
 
-@query(_METRICS + "SELECT attribute, sum(n)::BIGINT AS total, round(sum(r100 * n) / sum(n), 5) AS r100, round(sum(med_rank * n) / sum(n), 5) AS med_rank, CASE WHEN sum(r100 * n) / sum(n) >= 40 THEN 'EASY' WHEN sum(r100 * n) / sum(n) >= 25 THEN 'MODERATE' ELSE 'HARD' END AS verdict FROM m GROUP BY 1 HAVING sum(n) >= 10")
+_WEIGHED = _METRICS + ", w AS (SELECT sport, attribute, sum(n)::BIGINT AS total, count(*) AS entries, sum(r100 * n) / sum(n) AS r100, sum(med_rank * n) / sum(n) AS med_rank FROM m WHERE n >= 5 GROUP BY 1, 2 HAVING sum(n) >= 10) "
+
+
+@query(_WEIGHED + "SELECT sport, attribute, total, entries, round(r100, 9) AS r100, round(med_rank, 9) AS med_rank, CASE WHEN r100 >= 40 THEN 'EASY' WHEN r100 >= 25 THEN 'MODERATE' ELSE 'HARD' END AS verdict FROM w")
 def attribute_retrievability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted by n, with a verdict."""
-    return rounded(reports.retrievability(_metrics(spark, sf_dir)), 5)
+    """Weighted by n over large enough entries, with a verdict."""
+    return rounded(reports.retrievability(_metrics(spark, sf_dir)), 9)
 
 
-@query(_METRICS + ", p AS (SELECT attribute, sport, avg(r100) AS r FROM m GROUP BY 1, 2) SELECT attribute, count(*) AS groups, round(avg(r), 6) AS mean_r100, CASE WHEN avg(r) >= 35 THEN 'easy' WHEN avg(r) < 25 THEN 'hard' ELSE 'mixed' END AS pattern FROM p GROUP BY 1 HAVING count(*) >= 2")
+@query(_WEIGHED + "SELECT attribute, count(*) AS groups, round(avg(r100), 6) AS mean_r100, CASE WHEN avg(r100) >= 35 THEN 'easy' WHEN avg(r100) < 25 THEN 'hard' ELSE 'mixed' END AS pattern FROM w GROUP BY 1 HAVING count(*) >= 2")
 def cross_sport_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes that are easy or hard in several groups."""
+    """Attributes that are easy or hard over several groups, each weighted by n."""
     return rounded(reports.cross_group_patterns(_metrics(spark, sf_dir), "sport"))
 
 
-@query(_METRICS + "SELECT sport, arg_min(attribute, (r100, attribute)) AS hardest, arg_max(attribute, (r100, attribute)) AS easiest FROM m WHERE n >= 10 GROUP BY 1")
+@query(_METRICS + ", a AS (SELECT category, attribute, round(avg(r100), 6) AS mean FROM m WHERE n >= 10 GROUP BY 1, 2) SELECT category, arg_min(attribute, (mean, attribute)) AS hardest, min(mean) AS hardest_mean, arg_max(attribute, (mean, attribute)) AS easiest, max(mean) AS easiest_mean FROM a GROUP BY 1")
 def category_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hardest and easiest of each group."""
-    return reports.extremes(_metrics(spark, sf_dir).where("n >= 10"), ["sport"], "attribute", "r100")
+    """Hardest and easiest of each group by the mean over the sports that have enough rows."""
+    return rounded(reports.extremes(_metrics(spark, sf_dir), ["category"], "attribute", "r100"))
 
 
 @query(_METRICS + ", o AS (SELECT *, row_number() OVER (PARTITION BY sport ORDER BY r100, med_rank DESC, attribute, category) AS h FROM m WHERE n >= 5) SELECT sport, attribute, category FROM o WHERE h <= 15")

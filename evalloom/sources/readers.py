@@ -72,14 +72,27 @@ def boxes(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("frame_id").isNotNull() & F.col("track_id").isNotNull())
 
 
-def mot_results(spark: SparkSession, path: str, truth: bool, classes: Sequence[int] = (1,), least_visibility: float = 0.0) -> DataFrame:
-    """MOT rows (frame, id, left, top, width, height, mark, class, visibility) as boxes; truth keeps marked rows of the classes."""
+#: Classes of boxes that count as truth, and of those that a matcher ignores.
+MOT_VALID, MOT_IGNORED = (1,), (2, 7, 8, 12)
+
+
+def mot_results(spark: SparkSession, path: str, kind: str = "result", classes: Sequence[int] = MOT_VALID, ignored: Sequence[int] = MOT_IGNORED) -> DataFrame:
+    """MOT rows (frame, id, left, top, width, height, mark or score, class, visibility) as boxes; short rows and frames under 1 go.
+
+    ``result``: all, with their score. ``truth``: marked rows of the ``classes``, score 1. ``ignore``: rows of the
+    ``ignored`` classes or of negative visibility, score 1.
+    """
+    if kind not in ("result", "truth", "ignore"):
+        raise ValueError(f"unknown kind of rows: {kind}")
     f = F.split(F.trim("value"), r"\s*,\s*")
     n = lambda k: F.try_element_at("f", F.lit(k)).try_cast("double")
-    rows = spark.read.text(path).select(f.alias("f")).where(F.size("f") >= 6)
-    if truth:
-        rows = rows.where((n(7) != 0) & n(8).isin(list(classes)) & (F.coalesce(n(9), F.lit(1.0)) >= least_visibility))
-    return rows.select(n(1).cast("int").alias("frame_id"), n(2).cast("int").alias("track_id"), n(3).alias("x1"), n(4).alias("y1"), (n(3) + n(5)).alias("x2"), (n(4) + n(6)).alias("y2"), n(7).alias("confidence"))
+    rows = spark.read.text(path).select(f.alias("f")).where((F.size("f") >= 7) & (n(1) >= 1))
+    if kind == "truth":
+        rows = rows.where((n(7).cast("int") != 0) & n(8).cast("int").isin(list(classes)))
+    elif kind == "ignore":
+        rows = rows.where(n(8).cast("int").isin(list(ignored)) | (n(9) < 0))
+    score = n(7) if kind == "result" else F.lit(1.0)
+    return rows.select(n(1).cast("int").alias("frame_id"), n(2).cast("int").alias("track_id"), n(3).alias("x1"), n(4).alias("y1"), (n(3) + n(5)).alias("x2"), (n(4) + n(6)).alias("y2"), score.alias("confidence"))
 
 
 def path_list(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.operators.positions import numbered
+
 
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
@@ -36,22 +38,19 @@ def allowed_tracks(boxes: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def chat_messages(rows: DataFrame, conversations: str = "conversations") -> DataFrame:
-    """``from``/``value`` turns as ``role``/``content`` messages; empty turns and empty conversations go."""
-    turn = F.filter(F.col(conversations), lambda x: F.length(F.trim(x["value"])) > 0)
-    role = lambda x: F.when(x["from"] == "human", "user").when(x["from"] == "gpt", "assistant").otherwise(x["from"])
-    out = rows.withColumn("messages", F.transform(turn, lambda x: F.struct(role(x).alias("role"), x["value"].alias("content"))))
-    return out.where(F.size("messages") > 0).drop(conversations)
+    """``from``/``value`` turns as ``role``/``content`` messages: those of human and gpt, empty ones too; conversations without any go."""
+    known = F.filter(F.col(conversations), lambda x: x["from"].isin("human", "gpt"))
+    message = lambda x: F.struct(F.when(x["from"] == "human", "user").otherwise("assistant").alias("role"), F.coalesce(x["value"], F.lit("")).alias("content"))
+    return rows.withColumn("messages", F.transform(known, message)).where(F.size("messages") > 0).drop(conversations)
 
 
 def batch_requests(rows: DataFrame, prompt: str, model: str, key: str | None = None) -> DataFrame:
     """``value``: one JSON request a line with ``custom_id`` ``task-<i>``, i the row's place by key; and the key beside it."""
-    from pyspark.sql import Window
-
-    numbered = rows.withColumn("ordinal", F.row_number().over(Window.orderBy(key or prompt)) - 1)
+    at = numbered(rows, [key or prompt, prompt], "ordinal")
     message = F.array(F.struct(F.lit("user").alias("role"), F.col(prompt).alias("content")))
     body = F.struct(F.lit(model).alias("model"), message.alias("messages"))
     request = F.struct(F.format_string("task-%d", "ordinal").alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))
-    return numbered.select(F.to_json(request).alias("value"), "ordinal", *([key] if key else []))
+    return at.select(F.to_json(request).alias("value"), "ordinal", *([key] if key else []))
 
 
 def index_table(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
