@@ -12,7 +12,9 @@ only counted; the others are compared with all members, block by block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,21 @@ from ._spark import cut, partitions
 BITS = 48
 BLOCK = 256
 SMALL = 1000
+#: Passes at least, and passes whose shuffle is on disk at a time.
+LEAST, AT_ONCE = 24, 24
+#: Passes at most that a length of vectors can have: keeps lengths apart in the order.
+MOST = 1 << 20
+
+
+def passes_for(rows: int, threshold: float, window: int, recall: float = 0.97) -> int:
+    """Passes after which a pair at the threshold has met with the chance ``recall``, whatever the number of rows.
+
+    In one pass two vectors are within a window if their first ``log2(rows / window)`` signs agree, each with the chance
+    1 - angle / pi; a twentieth is taken off for pairs that fall on both sides of a window's end.
+    """
+    signs = max(0.0, math.log2(max(rows, 1) / window))
+    meet = min(0.95 * (1 - math.acos(min(threshold, 1.0)) / math.pi) ** signs, 1 - 1e-9)
+    return max(LEAST, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
 
 
 def planes(dim: int, number: int) -> np.ndarray:
@@ -44,7 +61,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
             rows = [x / np.sqrt(x @ x) for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([len(x) for x in rows], pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], ["vec_id", "dim", "v"])
 
-    return good.mapInArrow(work, "vec_id long, dim int, v binary").dropDuplicates(["vec_id"])
+    return good.mapInArrow(work, "vec_id long, dim int, v binary").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("u")).select("vec_id", "u.dim", "u.v")
 
 
 class Forest:
@@ -66,8 +83,8 @@ class Forest:
         return a != b
 
 
-def links(units: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
-    """``a, b``: links that connect what the passes find."""
+def links(units: DataFrame, threshold: float, passes: range, window: int) -> DataFrame:
+    """``a, b``: links that connect what the passes of these numbers find."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,9 +92,9 @@ def links(units: DataFrame, threshold: float, passes: int, window: int) -> DataF
             for d in np.unique(dim):
                 some = batch.filter(pa.array(dim == d))
                 x = np.frombuffer(b"".join(some.column("v").to_pylist()), dtype=np.float64).reshape(-1, d)
-                for number in range(passes):
+                for number in passes:
                     bits = (x @ planes(int(d), number) > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS, dtype=np.int64))
-                    order = pa.array(np.full(len(x), d * passes + number), pa.int64())
+                    order = pa.array(np.full(len(x), d * MOST + number), pa.int64())
                     yield pa.RecordBatch.from_arrays([order, pa.array(bits), some.column("vec_id"), some.column("v")], ["pass", "key", "vec_id", "v"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +211,19 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     return small.unionByName(base.unionByName(more).groupBy("vec_id").agg(F.sum("n_links").alias("n_links")))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = 24, window: int = 32) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 32) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vectors`` (``vec_id``, ``embedding``; others are ignored).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; nor do vectors of
-    different lengths with each other. Rows that repeat a vec_id are one vector (the first that is met) and get the
-    same result each. An empty table gives an empty one. No pair below the threshold is linked; pairs are found with
-    a chance that grows with ``passes`` and ``window``.
+    different lengths with each other. Rows that repeat a vec_id are one vector (the least by length and bytes) and get the
+    same result each. An empty table gives an empty one. No pair below the threshold is linked; a pair at it is found with
+    a chance of about 0.97: without ``passes`` their number follows the count of rows (``passes_for``), ``AT_ONCE`` of them
+    a shuffle. Windows end where a range partition does, so ``window`` rows of each partition and pass miss some of theirs.
     """
     units = cut(unit_vectors(vectors))
-    found = cut(components(cut(links(units, threshold, passes, window))))
+    passes = passes or passes_for(units.count(), threshold, window)
+    parts = [cut(links(units, threshold, range(k, min(k + AT_ONCE, passes)), window)) for k in range(0, passes, AT_ONCE)]
+    found = cut(components(reduce(DataFrame.unionByName, parts)))
     members = cut(units.join(found.withColumnRenamed("id", "vec_id"), "vec_id").select("component", "vec_id", "v"))
     counts = link_counts(members, threshold)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(counts, "vec_id", "left")

@@ -466,3 +466,27 @@ def test_sql_agrees(spark):
 
     for name, sql in queries.oracle_sql().items():
         assert not compare.difference(spark, name, queries.queries()[name], sql, "/root/testdata/sf0.001")
+
+
+def test_passes_follow_the_rows():
+    assert [embedding_dedup.passes_for(n, 0.9, 32) for n in (0, 10, 100_000, 1_000_000, 10_000_000)] == [24, 24, 24, 36, 60]
+    # isolated pairs just over the threshold among many vectors, by the passes' own keys and windows
+    rng, n, pairs, dim = np.random.default_rng(0), 50_000, 200, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, r = x[:pairs], rng.standard_normal((pairs, dim))
+    r -= (r * a).sum(1, keepdims=True) * a
+    x[pairs : 2 * pairs] = 0.902 * a + np.sqrt(1 - 0.902**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    met = np.zeros(pairs, dtype=bool)
+    for k in range(embedding_dedup.passes_for(n, 0.9, 32)):
+        place = np.empty(n, dtype=np.int64)
+        place[np.argsort((x @ embedding_dedup.planes(dim, k) > 0) @ (np.int64(1) << np.arange(embedding_dedup.BITS)), kind="stable")] = np.arange(n)
+        met |= np.abs(place[:pairs] - place[pairs : 2 * pairs]) <= 32
+    assert met.mean() >= 0.95
+
+
+def test_vectors_that_repeat_an_id_count_once(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    for order in (rows, rows[::-1]):
+        got = embedding_dedup.near_vectors(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 0, 2), (3, 1, 1)]
