@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +57,8 @@ def match_ratio(known: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def close_names(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical", threshold: float = 0.6) -> DataFrame:
-    """``name, known, ratio`` (lower-cased) of all pairs whose match ratio is ``threshold`` or more."""
+def _candidates(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical", threshold: float = 0.6) -> DataFrame:
+    """``name, known`` (lower-cased): all pairs whose match ratio can be ``threshold`` or more, and some others; sorted by name within partitions."""
     asked, known = _indexed(names, name), _indexed(canon, canonical)
     rarity = known.groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
     shortest = threshold / (2 - threshold)  # of two lengths over the other
@@ -70,7 +72,49 @@ def close_names(names: DataFrame, canon: DataFrame, name: str = "name", canonica
     a = heads(asked).select("token", F.col("lower").alias("name"), F.col("size").alias("a"))
     b = heads(known).select("token", F.col("lower").alias("known"), F.col("size").alias("b"))
     pairs = a.join(b, "token").where(F.least("a", "b") + 1e-9 >= threshold * (F.col("a") + F.col("b")) / 2).select("name", "known").distinct()
-    return pairs.repartition("name").sortWithinPartitions("name").withColumn("ratio", match_ratio("known", "name")).where(F.col("ratio") >= threshold)
+    return pairs.repartition("name").sortWithinPartitions("name")
+
+
+def close_names(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical", threshold: float = 0.6) -> DataFrame:
+    """``name, known, ratio`` (lower-cased) of all pairs whose match ratio is ``threshold`` or more."""
+    return _candidates(names, canon, name, canonical, threshold).withColumn("ratio", match_ratio("known", "name")).where(F.col("ratio") >= threshold)
+
+
+def closest_names(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical", threshold: float = 0.6) -> DataFrame:
+    """``name, known, ratio`` (lower-cased): of each name the known one of the best match ratio, ``threshold`` or more; of equal ones the larger.
+
+    A name's candidates are tried by falling upper bound (shared characters) until the bound is under the best ratio.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, name_of, best = SequenceMatcher(), None, (threshold, "")
+        for batch in batches:
+            found = []
+            rows = zip(batch.column("name").to_pylist(), batch.column("known").to_pylist(), strict=True)
+            for n, some in groupby(rows, key=lambda r: r[0]):
+                if n != name_of:  # a name may go on in the next batch
+                    if best[1]:
+                        found.append((name_of, *best))
+                    matcher.set_seq2(n)
+                    name_of, best = n, (threshold, "")
+                bounds = []
+                for _, known in some:
+                    matcher.set_seq1(known)
+                    bounds.append((matcher.quick_ratio(), known))
+                for bound, known in sorted(bounds, reverse=True):
+                    if bound < best[0]:
+                        break
+                    matcher.set_seq1(known)
+                    best = max(best, (matcher.ratio(), known))
+            yield _found(found)
+        yield _found([(name_of, *best)] if name_of is not None and best[1] else [])
+
+    return _candidates(names, canon, name, canonical, threshold).mapInArrow(run, "name string, known string, ratio double")
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    names, ratios, known = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(known, pa.string()), pa.array(ratios, pa.float64())], ["name", "known", "ratio"])
 
 
 def containing_names(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical") -> DataFrame:
@@ -97,7 +141,7 @@ def resolve_entities(names: DataFrame, canon: DataFrame, name: str = "name", can
     asked = names.select(F.col(name).alias("name")).distinct().withColumn("lower", F.lower("name"))
     exact = asked.join(spelled.withColumnsRenamed({"known": "lower", "spelled": "exact"}), "lower", "left")
     rest = exact.where("exact is null and lower is not null").select("lower")
-    near = close_names(rest, canon, "lower", canonical, threshold).groupBy("name").agg(F.max_by("known", F.struct("ratio", "known")).alias("near"))
+    near = closest_names(rest, canon, "lower", canonical, threshold).select("name", F.col("known").alias("near"))
     far = rest.join(near.select(F.col("name").alias("lower")), "lower", "left_anti")
     held = containing_names(far, canon, "lower", canonical).groupBy("name").agg(F.min("known").alias("held"))
     found = near.join(held, "name", "full").select(F.col("name").alias("lower"), F.coalesce("near", "held").alias("known")).join(spelled, "known").select("lower", "spelled")

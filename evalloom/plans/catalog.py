@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from evalloom.plans import agent_queries, box_queries, metric_queries, retrieval_queries, search_queries, source_queries, table_queries  # noqa: F401
+    from evalloom.plans import agent_queries, box_queries, function_queries, metric_queries, retrieval_queries, search_queries, source_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
