@@ -165,10 +165,14 @@ class Grammar:
 
 
 def runs_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of credential characters that no base span touches."""
-    out = []
+    """Runs of credential characters that no base span touches; both lists are walked once."""
+    out, ordered, at, reached = [], sorted(spans), 0, 0
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in spans):
+        # the furthest end of the spans that start before the run ends
+        while at < len(ordered) and ordered[at][0] < m.end():
+            reached = max(reached, ordered[at][2])
+            at += 1
+        if reached <= m.start():
             out.append((m.start(), m.end()))
     return out
 

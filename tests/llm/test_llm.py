@@ -490,3 +490,14 @@ def test_vectors_that_repeat_an_id_count_once(spark):
     for order in (rows, rows[::-1]):
         got = embedding_dedup.near_vectors(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)).collect()
         assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 0, 2), (3, 1, 1)]
+
+
+def test_runs_outside_spans():
+    from evalloom.llm.secrets import RUN, runs_outside
+
+    rng = random.Random(9)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("aB3_-/") for _ in range(rng.randint(1, 40))) for _ in range(12))
+        spans = sorted((a, rng.randint(0, 2), a + rng.randint(1, 60)) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 6))))
+        plain = [(m.start(), m.end()) for m in RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        assert runs_outside(text, spans) == plain
