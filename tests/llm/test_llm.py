@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -411,6 +412,93 @@ def test_line_dedup_in_skewed_input(spark):
     assert all(got[k] == 100 for k, _ in logs)
 
 
+def plain_line_dedup(rows: list[tuple[int, str | None]], least: int = 6, depth: int = 3, similarity: float = 0.7) -> dict:
+    """(doc_id, text) -> numbers of the lines that go; all pairs are compared, every part of a leaf is a list."""
+    docs = sorted({(i, t or "") for i, t in rows})
+    cut_up = [[x.strip(" \t\r\f\x0b") for x in t.split("\n")] for _, t in docs]
+    sets = [{x for x in t.split("\n") if x.strip(" \t\r\f\x0b")} for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if 2 * sum(map(len, sets[a] & sets[b])) > sum(map(len, sets[a] | sets[b])):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    groups = defaultdict(list)
+    for k, own in enumerate(cut_up):
+        for at, line in enumerate(own):
+            tokens = ["<*>" if re.search("[0-9]", x) else x for x in line.split()]
+            if any(x != "<*>" for x in tokens):
+                groups[(len(tokens), *tokens[:depth])].append((find(k), (k, at), tokens))
+    gone = set()
+
+    def drop(some: list) -> bool:
+        if len({f for f, _, _ in some}) < least:
+            return False
+        gone.update(place for _, place, _ in some)
+        return True
+
+    work = []
+    for leaf in groups.values():
+        same = defaultdict(list)
+        for x in leaf:
+            same[tuple(x[2])].append(x)
+        work.append([x for some in same.values() if not drop(some) for x in some])
+    while work:
+        part = work.pop()
+        if len({f for f, _, _ in part}) < least:
+            continue
+        counts = [Counter(column) for column in zip(*(x[2] for x in part))]
+        pattern = [max((n, t) for t, n in c.items())[1] for c in counts]
+        alike = [sum(a == b != "<*>" for a, b in zip(x[2], pattern)) >= math.ceil(len(pattern) * similarity) for x in part]
+        if drop([x for x, yes in zip(part, alike) if yes]):
+            part = [x for x, yes in zip(part, alike) if not yes]
+        open_places = [(max(c.values()), -at) for at, c in enumerate(counts) if len(c) > 1]
+        if open_places:
+            split = defaultdict(list)
+            for x in part:
+                split[x[2][-max(open_places)[1]]].append(x)
+            work.extend(split.values())
+    return {doc: sorted(at for k, at in gone if k == i) for i, doc in enumerate(docs)}
+
+
+def test_line_dedup_equals_the_plain_version(spark):
+    rng = random.Random(21)
+    names = [a + b for a in SYLLABLES[:6] for b in SYLLABLES[:6]]
+    shared = [sentence(rng, 14) for _ in range(8)]
+    kinds = [
+        lambda k: f"open the door of {rng.choice(names)} before {rng.choice(names)} comes home tonight again dear",
+        lambda k: f"open the door at {rng.choice(names)} only when nobody {rng.choice(names)} looks this way",
+        lambda k: f"open the door {rng.choice(names)} {rng.choice(names)} {rng.choice(names)} {rng.choice(names)} {rng.choice(names)} {rng.choice(names)} {rng.choice(names)} {rng.choice(names)} {rng.choice(names)}",
+        lambda k: f"page {k} of {rng.randrange(99)}",
+        lambda k: rng.choice(["share this", "12 14", "back 9"]),
+        lambda k: rng.choice(shared),
+    ]
+    rows = [(k, "\n".join([sentence(rng, 25), *[rng.choice(kinds)(k) for _ in range(rng.randrange(6))], sentence(rng, 25)])) for k in range(60)]
+    for k in range(70, 80):  # copies with a word more, families of their own
+        rows.append((k, rows[k % 3][1] + "\nadded"))
+    long = sentence(rng, 218)  # ten documents, of whose text one line is 71 %
+    few = [sentence(rng, 2) for _ in range(10 * 40)]
+    rows += [(100 + k, "\n".join([long, *[x[:14] for x in few[40 * k : 40 * k + 40]]])) for k in range(10)]
+    rows += [(200 + k, "\n".join([shared[0], shared[1], sentence(rng, 9), sentence(rng, 9)])) for k in range(12)]
+    rows += [rows[5], (5, rows[6][1]), (300, None), (301, ""), (302, " \n\t\n"), (303, "\n".join(sentence(rng, 8) for _ in range(4000))), (304, "x" * 1_500_000)]
+    want = plain_line_dedup(rows)
+    assert not any(0 in want[(100 + k, rows[70 + k][1])] for k in range(10))
+    got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("was", F.coalesce("text", F.lit("")))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        gone = want[(r["doc_id"], r["was"])]
+        assert r["n_dropped"] == len(gone)
+        assert (r["text"] or "") == "\n".join(x for at, x in enumerate(r["was"].split("\n")) if at not in gone)
+    by_text = {r["doc_id"]: r["text"] for r in got}
+    assert not any("open the door of" in (t or "") or "open the door at" in (t or "") for k, t in by_text.items() if k < 60)
+    assert any("12 14" in (t or "") for t in by_text.values()) and not any("share this" in (t or "").split("\n") for t in by_text.values())
+
+
 @pytest.mark.parametrize("open_windows", [1, 8])
 def test_packing(docs, empty, rows, open_windows):
     tokenizer = __import__("tokenizers").Tokenizer.from_file(vocabulary_file())
