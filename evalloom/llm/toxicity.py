@@ -223,8 +223,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model doesn't call toxic, with all their columns.
 
-    Null and empty texts have no features; the rest is as in ``score_toxicity``. Columns may have any names.
+    Null and empty texts have no features; the rest is as in ``score_toxicity``. A model without features, as from an
+    empty table of labels or from labels of one class, gives all texts one score and drops none. Columns may have any
+    names.
     """
+    if not len(model.bins):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = fresh(docs, "scored")
     hidden = docs.withColumn(name, F.coalesce("text", F.lit("")))
