@@ -153,6 +153,6 @@ class PreTokens:
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of one occurrence of each distinct pre-token, its 64-bit hash, and which of these each pre-token is."""
         end = np.flatnonzero(self.last) + 1
-        start = np.concatenate(([0], end[:-1]))
+        start = np.concatenate(([0], end))[:-1]
         hashes, at, which = np.unique(hash_runs(self.data, start, end), return_index=True, return_inverse=True)
         return start[at], end[at], hashes, which

@@ -412,6 +412,15 @@ def test_line_dedup_in_skewed_input(spark):
     assert all(got[k] == 100 for k, _ in logs)
 
 
+def test_batches_without_tokens(spark):
+    rows = [(1, None), (2, ""), (3, " "), (4, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    tokenizer = __import__("tokenizers").Tokenizer.from_file(vocabulary_file())
+    want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df, vocabulary_file()).collect()} == want
+    assert {r["doc_id"]: r["doc_tokens"] for r in pack(df, vocabulary_file()).collect()} == {i: n + 1 for i, n in want.items()}
+
+
 def plain_line_dedup(rows: list[tuple[int, str | None]], least: int = 6, depth: int = 3, similarity: float = 0.7) -> dict:
     """(doc_id, text) -> numbers of the lines that go; all pairs are compared, every part of a leaf is a list."""
     docs = sorted({(i, t or "") for i, t in rows})
@@ -547,6 +556,34 @@ def test_pipeline(spark, docs, labelled, tmp_path):
     assert len([k for k in range(400) if k % 4 and k in ids]) > 285
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, labelled, tmp_path):
+    rng = random.Random(31)
+    item, clean = sentence(rng, 40), sentence(rng, 60)
+    rows = [(1, clean), (1, clean), (1, sentence(rng, 50)), (2, None), (3, ""), (4, "\n \n"), (5, sentence(rng, 30000)), (6, f"{sentence(rng, 20)} {item}"), (None, sentence(rng, 30)), (None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    for name in ("source", "row", "family", "component", "score", "kept", "gone", "contaminated"):
+        odd = odd.withColumn(name, F.lit(name))
+    odd = odd.withColumn("n_chars", F.length("text").cast("long"))
+    labelled[1].write.parquet(str(tmp_path / "full" / "labels.parquet"))
+    labelled[1].limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    items = spark.createDataFrame([(0, item), (1, None), (None, ""), (0, item)], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "full" / "benchmark.parquet"))
+    items.limit(0).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        for tables in ("full", "none"):
+            got = stage(spark, odd, str(tmp_path / tables))
+            kept = sorted((r["doc_id"] or 0 for r in got.select("doc_id").collect()))
+            if name == "packing":
+                assert set(kept) == {0, 1, 2, 3, 4, 5, 6}
+                continue
+            assert got.columns == odd.columns
+            gone = {6} if (name, tables) == ("decontamination", "full") else set()
+            assert kept == sorted(i or 0 for i, _ in rows if i not in gone), (name, tables)
+        nothing = stage(spark, odd.limit(0), str(tmp_path / "full"))
+        assert nothing.count() == 0
+        assert name == "packing" or nothing.columns == odd.columns
+
+
 def test_sql_agrees(spark):
     import compare
 
