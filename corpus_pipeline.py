@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of ``docs``. Null texts stay as they are until packing, which reads them as empty.
+columns of ``docs``. Null texts stay as they are until packing, which reads them as empty. Each stage takes null ids,
+repeated rows (each stays or goes as the others), texts of any length, read whole, and empty tables, which give empty
+ones. Without labels or benchmark items nothing is rejected.
 """
 
 from __future__ import annotations
