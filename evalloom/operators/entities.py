@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalloom.storage import cut
+
 
 def canonical_names(rows: DataFrame, *columns: str) -> DataFrame:
     """``canonical``: distinct names in columns of text, arrays, or arrays of arrays; nulls and blanks go."""
@@ -80,41 +81,98 @@ def close_names(names: DataFrame, canon: DataFrame, name: str = "name", canonica
     return _candidates(names, canon, name, canonical, threshold).withColumn("ratio", match_ratio("known", "name")).where(F.col("ratio") >= threshold)
 
 
-def closest_names(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical", threshold: float = 0.6) -> DataFrame:
-    """``name, known, ratio`` (lower-cased): of each name the known one of the best match ratio, ``threshold`` or more; of equal ones the larger.
+def _letters(lower: Column) -> Column:
+    """The characters of a text in order: what ``quick_ratio`` sees of it."""
+    return F.array_join(F.array_sort(F.split(lower, "")), "")
+
+
+def _kinds(names: DataFrame, column: str) -> DataFrame:
+    """``kind, name``: the distinct lower-cased names with their letters."""
+    low = names.select(F.lower(column).alias("name")).where(F.length("name") > 0).distinct()
+    return low.select(_letters(F.col("name")).alias("kind"), "name")
+
+
+def _packed(rows: DataFrame, row: Column, part: str, size: int) -> DataFrame:
+    """``kind, part, rows``: the rows of each kind in lists of about ``size``."""
+    count = F.count(F.lit(1)).over(Window.partitionBy("kind"))
+    return rows.withColumn(part, F.pmod(F.xxhash64("name"), F.ceil(count / size))).groupBy("kind", part).agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
+
+
+def _holds(a: str, b: str) -> bool:
+    """Whether the longer text has the letters of the other in order."""
+    short, rest = (a, iter(b)) if len(a) < len(b) else (b, iter(a))
+    return all(c in rest for c in short)
 
-    A name's candidates are tried by falling upper bound (shared characters) until the bound is under the best ratio.
+
+def _tried(asked: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``kind, name, ratio, known``: the better of what ``asked`` (the same columns) has and what ``pairs`` (``kind, known_kind, bound``) give.
+
+    Lists of known names come by falling bound, then by their largest name; a name leaves a list where nothing in it can be better.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, name_of, best = SequenceMatcher(), None, (threshold, "")
+        matcher, key, best = SequenceMatcher(), None, {}
         for batch in batches:
             found = []
-            rows = zip(batch.column("name").to_pylist(), batch.column("known").to_pylist(), strict=True)
-            for n, some in groupby(rows, key=lambda r: r[0]):
-                if n != name_of:  # a name may go on in the next batch
-                    if best[1]:
-                        found.append((name_of, *best))
-                    matcher.set_seq2(n)
-                    name_of, best = n, (threshold, "")
-                bounds = []
-                for _, known in some:
-                    matcher.set_seq1(known)
-                    bounds.append((matcher.quick_ratio(), known))
-                for bound, known in sorted(bounds, reverse=True):
-                    if bound < best[0]:
-                        break
-                    matcher.set_seq1(known)
-                    best = max(best, (matcher.ratio(), known))
+            for kind, part, names, lists, bound in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "names", "lists", "bound")), strict=True):
+                if (kind, part) != key:  # a group may go on in the next batch
+                    found += [(key[0], n, *b) for n, b in best.items()]
+                    key, best = (kind, part), {r["name"]: (r["ratio"], r["known"]) for r in names}
+                for name, so_far in best.items():
+                    if (bound, lists[0]) <= so_far:
+                        continue
+                    matcher.set_seq2(name)
+                    both = len(name) + len(lists[0])
+                    shared = round(bound * both / 2)
+                    # one that holds all letters meets the bound only with them in order; else it has one letter less
+                    whole = shared in (len(name), len(lists[0]))
+                    for limit, in_order in ((bound, True), (2.0 * (shared - 1) / both, False)) if whole else ((bound, None),):
+                        for k in lists:
+                            if (limit, k) <= so_far:
+                                break
+                            if in_order is None or in_order == _holds(k, name):
+                                matcher.set_seq1(k)
+                                so_far = max(so_far, (matcher.ratio(), k))
+                    best[name] = so_far
             yield _found(found)
-        yield _found([(name_of, *best)] if name_of is not None and best[1] else [])
+        yield _found([(key[0], n, *b) for n, b in best.items()] if key else [])
+
+    names = _packed(asked, F.struct("name", "ratio", "known"), "part", 64).withColumnRenamed("rows", "names")
+    lists = _packed(known, F.col("name"), "known_part", 256).select(F.col("kind").alias("known_kind"), F.col("rows").alias("lists"))
+    least = F.array_min(F.transform("names", lambda x: x["ratio"]))
+    met = names.join(pairs, "kind").where(F.col("bound") >= least).join(lists, "known_kind")
+    dealt = met.repartition("kind", "part").sortWithinPartitions("kind", "part", F.desc("bound"), F.desc(F.col("lists")[0]))
+    return dealt.select("kind", "part", "names", "lists", "bound").mapInArrow(run, "kind string, name string, ratio double, known string")
+
 
-    return _candidates(names, canon, name, canonical, threshold).mapInArrow(run, "name string, known string, ratio double")
+def closest_names(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical", threshold: float = 0.6) -> DataFrame:
+    """``name, known, ratio`` (lower-cased): of each name the known one of the best match ratio, ``threshold`` or more; of equal ones the larger.
+
+    The upper bound (shared characters) is the same for all names of the same letters, so kinds of letters are paired, not
+    names. The known names of the best bound are tried first; only names that other bounds leave open go on to those.
+    """
+    asked, known = _kinds(names, name), _kinds(canon, canonical)
+    mine = cut(asked.select("kind").distinct().select("kind", _tokens(F.col("kind")).alias("a")))
+    theirs = cut(known.select(F.col("kind").alias("known_kind")).distinct().select("known_kind", _tokens(F.col("known_kind")).alias("b")))
+    met = _candidates(mine, theirs, "kind", "known_kind", threshold).select(F.col("name").alias("kind"), F.col("known").alias("known_kind"))
+    # in the order of difflib, so that a bound that is met is equal to the ratio
+    bound = 2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
+    pairs = cut(met.join(mine, "kind").join(theirs, "known_kind").select("kind", "known_kind", bound.alias("bound"))).where(F.col("bound") >= threshold)
+    tops = pairs.groupBy("kind").agg(F.max("bound").alias("top"))
+    first = pairs.join(tops, "kind").where("bound = top").drop("top")
+    later = pairs.join(tops, "kind").where("bound < top").drop("top")
+    start = asked.select("kind", "name", F.lit(threshold).cast("double").alias("ratio"), F.lit("").alias("known"))
+    tried = cut(_tried(start, known, first))
+    nexts = later.groupBy("kind").agg(F.max("bound").alias("next"))
+    split = tried.join(nexts, "kind", "left")
+    open_ = split.where("ratio <= next").drop("next")
+    done = split.where("next is null or ratio > next").drop("next")
+    return done.unionByName(_tried(open_, known, later)).where("known <> ''").select("name", "known", "ratio")
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
-    names, ratios, known = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(known, pa.string()), pa.array(ratios, pa.float64())], ["name", "known", "ratio"])
+    kinds, names, ratios, known = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array(ratios, pa.float64()), pa.array(known, pa.string())], ["kind", "name", "ratio", "known"])
 
 
 def containing_names(names: DataFrame, canon: DataFrame, name: str = "name", canonical: str = "canonical") -> DataFrame:

@@ -144,3 +144,15 @@ def test_mot_rows(spark, tmp_path):
     (tmp_path / "gt.txt").write_text("\n".join(lines))
     ids = {kind: sorted(r["track_id"] for r in readers.mot_results(spark, str(tmp_path / "gt.txt"), kind).collect()) for kind in ("result", "truth", "ignore")}
     assert ids == {"result": [1, 2, 3, 4, 7], "truth": [1], "ignore": [3, 4]}
+
+
+def test_names_of_the_same_letters_are_tried_as_one_kind(spark, monkeypatch):
+    known = [f"Supplier#{k:09d}" for k in range(0, 400, 3)] + ["abcabc", "cbacba"]
+    names = [f"supplier#00{k}" for k in range(0, 400, 7)] + ["abcacb", "acbcab", "abxcabc"]
+    rows, canon = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(k,) for k in known], "canonical string")
+    sizes = []
+    candidates = entities._candidates
+    monkeypatch.setattr(entities, "_candidates", lambda *a: sizes.append((a[0].count(), a[1].count())) or candidates(*a))
+    got = {r["name"]: r["known"] for r in entities.closest_names(rows, canon).collect()}
+    assert got == {n: max((difflib.SequenceMatcher(None, k.lower(), n).ratio(), k.lower()) for k in known)[1] for n in names}
+    assert sizes and sizes[0][0] < len(names) and sizes[0][1] < len(known) / 2
