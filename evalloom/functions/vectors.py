@@ -17,8 +17,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    # the length is a lambda's variable, so that it isn't computed again for each component
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -15,45 +15,117 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.operators.filters import Fields
-from evalloom.storage import partitions
+from evalloom.storage import cut, partitions
 
 #: Bytes of queries that go to every task, and queries of a block where there are more.
 CARRIED, BLOCK = 32 << 20, 1024
 
 
 class Best:
-    """The best k items of each query of a block so far: higher scores first, then smaller item ids."""
+    """The best k items of each query of a block so far: higher scores first, then smaller item ids.
 
-    def __init__(self, ids: list, vectors: list, filters: list, k: int, fields: Fields, item: str, places: int):
-        self.ids, self.k, self.fields, self.item, self.places = ids, k, fields, item, places
-        self.filters = [dict(f) if f else {} for f in filters]
-        self.v = np.array(vectors, dtype=np.float64) if len(ids) else np.zeros((0, 0))
-        self.scores = [np.zeros(0) for _ in ids]
-        self.items = [np.zeros(0, dtype=np.int64) for _ in ids]
+    Scores are made for ``ROWS`` queries and ``COLUMNS`` items at a time; only those that can be among the best are kept and rounded.
+    """
+
+    ROWS, COLUMNS = 1024, 2048
+
+    def __init__(self, asked: pa.Table, k: int, fields: Fields, item: str, places: int):
+        self.ids, self.k, self.fields, self.item, self.places = asked.column("query_id").to_numpy(), k, fields, item, places
+        self.v = matrix(asked.column("qv"))
+        self.scores, self.items = np.full((len(self.ids), k), -np.inf), np.zeros((len(self.ids), k), dtype=np.int64)
+        self.groups: dict[str, tuple[dict, list[int]]] = {}
+        for q, given in enumerate(asked.column("filters").to_pylist()):
+            filters = dict(given) if given else {}
+            self.groups.setdefault(repr(sorted(filters.items())), (filters, []))[1].append(q)
 
     def add(self, batch: pa.RecordBatch) -> None:
-        have = np.asarray(batch.column("v").is_valid())
-        batch = batch.filter(pa.array(have))
+        batch = batch.filter(pa.array(np.asarray(batch.column("v").is_valid())))
         if not len(batch) or not len(self.ids):
             return
-        x = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(batch), -1)
-        items = batch.column(self.item).to_numpy()
-        scores = np.round((self.v @ x.T + 1) / 2, self.places)
-        masks: dict[str, np.ndarray] = {}
-        for q, filters in enumerate(self.filters):
-            key = repr(sorted(filters.items()))
-            if key not in masks:
-                masks[key] = np.flatnonzero(self.fields.mask(batch, filters))
-            at = masks[key]
-            s, i = np.concatenate((self.scores[q], scores[q, at])), np.concatenate((self.items[q], items[at]))
-            order = np.lexsort((i, -s))[: self.k]
-            self.scores[q], self.items[q] = s[order], i[order]
+        x, items = matrix(batch.column("v")), batch.column(self.item).to_numpy()
+        for filters, members in self.groups.values():
+            fit, members = np.flatnonzero(self.fields.mask(batch, filters)), np.array(members)
+            for at in range(0, len(fit), self.COLUMNS):
+                some = fit[at : at + self.COLUMNS]
+                for q in range(0, len(members), self.ROWS):
+                    self._merge(members[q : q + self.ROWS], x[some], items[some])
+
+    def _merge(self, who: np.ndarray, x: np.ndarray, items: np.ndarray) -> None:
+        scores = (self.v[who] @ x.T + 1) / 2
+        least = self.scores[who, -1]
+        unfilled = np.flatnonzero(np.isneginf(least))
+        if len(unfilled) and len(items) > self.k:
+            least[unfilled] = np.partition(scores[unfilled], -self.k, axis=1)[:, -self.k]
+        # what is rounded to the k-th score stays for its ids
+        row, column = np.nonzero(scores >= (least - 1.2 * 10.0**-self.places)[:, None])
+        if not len(row):
+            return
+        met, place = np.unique(row, return_inverse=True)
+        of = np.concatenate((np.repeat(np.arange(len(met)), self.k), place))
+        s = np.concatenate((self.scores[who[met]].ravel(), np.round(scores[row, column], self.places)))
+        i = np.concatenate((self.items[who[met]].ravel(), items[column]))
+        order = np.lexsort((i, -s, of))
+        of, s, i = of[order], s[order], i[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        best = rank < self.k
+        self.scores[who[met[of[best]]], rank[best]], self.items[who[met[of[best]]], rank[best]] = s[best], i[best]
 
     def rows(self) -> pa.RecordBatch:
-        ids = [i for i, s in zip(self.ids, self.scores, strict=True) for _ in range(len(s))]
-        items = np.concatenate(self.items) if self.items else np.zeros(0, dtype=np.int64)
-        scores = np.concatenate(self.scores) if self.scores else np.zeros(0)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(scores, pa.float64())], ["query_id", self.item, "score"])
+        q, k = np.nonzero(~np.isneginf(self.scores))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q], pa.int64()), pa.array(self.items[q, k], pa.int64()), pa.array(self.scores[q, k], pa.float64())], ["query_id", self.item, "score"])
+
+
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles; none may be null."""
+    held = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    if isinstance(held, pa.ChunkedArray):
+        held = pa.concat_arrays(held.chunks) if held.num_chunks else pa.array([], held.type)
+    return np.asarray(held.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(held), -1) if len(held) else np.zeros((0, 0))
+
+
+def over_blocks(asked: DataFrame, offered: DataFrame, item: str, make: Callable[[pa.Table], object], schema: str, carried: int = CARRIED) -> DataFrame:
+    """Rows of ``make(block of asked)`` (``add(batch)`` takes items, ``rows()`` gives a batch) for each block of ``asked`` (``query_id, qv``) and part of ``offered``."""
+    spark, parts, columns = offered.sparkSession, partitions(offered.sparkSession), asked.columns
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qv") * 8 + 64).alias("bytes")).first()
+    if (size["bytes"] or 0) <= carried:
+        block = asked.toArrow()
+
+        def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = make(block)
+            for batch in batches:
+                state.add(batch)
+            yield state.rows()
+
+        return offered.repartition(parts, item).mapInArrow(carry, schema)
+    blocks = -(-size["n"] // BLOCK)
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_kind", F.lit(0))
+    offered = offered.withColumn("_part", F.pmod(F.xxhash64(item), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_kind", F.lit(1))
+    both = asked.unionByName(offered, allowMissingColumns=True)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, waiting = None, None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("_block", "_part", "_kind")), strict=True))
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if keys[at][:2] != key:
+                    if state:
+                        yield state.rows()
+                    key, state, waiting = keys[at][:2], None, []
+                some = batch.slice(at, to - at)
+                if keys[at][2] == 0:
+                    waiting.append(some.select(columns))
+                elif waiting:
+                    state = state or make(pa.Table.from_batches(waiting))
+                    state.add(some)
+                at = to
+        if state:
+            yield state.rows()
+
+    return both.repartition(parts, "_block", "_part").sortWithinPartitions("_block", "_part", "_kind").mapInArrow(deal, schema)
 
 
 def block_top_k(queries: DataFrame, items: DataFrame, k: int, item: str = "item_id", fields: Fields | None = None, places: int = 4, carried: int = CARRIED) -> DataFrame:
@@ -65,61 +137,102 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, item: str = "item_
     fields = fields or Fields()
     if clash := {"query_id", "qv", "filters", "v", item, "_block", "_part", "_kind"} & set(fields.columns()):
         raise ValueError(f"metadata columns need other names: {sorted(clash)}")
-    spark = items.sparkSession
     asked = queries.where("query_id is not null and qv is not null")
     if "filters" not in asked.columns:
         asked = asked.withColumn("filters", F.lit(None).cast("map<string,array<string>>"))
     asked = asked.select(F.col("query_id").cast("long"), F.col("qv").cast("array<double>").alias("qv"), "filters")
     offered = items.where("v is not null").select(F.col(item).cast("long").alias(item), "v", *fields.columns())
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qv") * 8 + 64).alias("bytes")).first()
-    schema = f"query_id long, {item} long, score double"
-
-    if (size["bytes"] or 0) <= carried:
-        rows = asked.collect()
-        block = [[r["query_id"] for r in rows], [list(r["qv"]) for r in rows], [r["filters"] for r in rows]]
-
-        def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(*block, k, fields, item, places)
-            for batch in batches:
-                best.add(batch)
-            yield best.rows()
-
-        found = offered.mapInArrow(carry, schema)
-    else:
-        blocks, parts = -(-size["n"] // BLOCK), partitions(spark)
-        asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_kind", F.lit(0))
-        offered = offered.withColumn("_part", F.pmod(F.xxhash64(item), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_kind", F.lit(1))
-        both = asked.unionByName(offered, allowMissingColumns=True)
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, best, waiting = None, None, [[], [], []]
-            for batch in batches:
-                keys = list(zip(*(batch.column(c).to_pylist() for c in ("_block", "_part", "_kind")), strict=True))
-                at = 0
-                while at < len(keys):
-                    to = at
-                    while to < len(keys) and keys[to] == keys[at]:
-                        to += 1
-                    if keys[at][:2] != key:
-                        if best:
-                            yield best.rows()
-                        key, best, waiting = keys[at][:2], None, [[], [], []]
-                    some = batch.slice(at, to - at)
-                    if keys[at][2] == 0:
-                        for held, c in zip(waiting, ("query_id", "qv", "filters"), strict=True):
-                            held += some.column(c).to_pylist()
-                    else:
-                        best = best or Best(*waiting, k, fields, item, places)
-                        best.add(some)
-                    at = to
-            if best:
-                yield best.rows()
-
-        found = both.repartition(partitions(spark), "_block", "_part").sortWithinPartitions("_block", "_part", "_kind").mapInArrow(deal, schema)
+    found = over_blocks(asked, offered, item, lambda block: Best(block, k, fields, item, places), f"query_id long, {item} long, score double", carried)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), item)
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+class Counts:
+    """Of each query how many items of other labels score above ``least``, where scores are rounded to nine places."""
+
+    def __init__(self, asked: pa.Table, item: str):
+        self.ids, self.v, self.item = asked.column("query_id").to_numpy(), matrix(asked.column("qv")), item
+        self.labels, self.least = asked.column("label").to_numpy(), asked.column("least").to_numpy()
+        self.n = np.zeros(len(self.ids), dtype=np.int64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        x, labels = matrix(batch.column("v")), batch.column("label").to_numpy()
+        for at in range(0, len(x), Best.COLUMNS):
+            some, of = x[at : at + Best.COLUMNS], labels[at : at + Best.COLUMNS]
+            for q in range(0, len(self.ids), Best.ROWS):
+                who = slice(q, q + Best.ROWS)
+                scores, other = self.v[who] @ some.T, self.labels[who, None] != of[None, :]
+                above = (scores > self.least[who, None] + 2e-9) & other
+                self.n[who] += above.sum(1)
+                row, column = np.nonzero((scores > self.least[who, None] - 2e-9) & other & ~above)
+                near = np.zeros(len(row))  # summed in order, as the least was
+                for d in range(some.shape[1]):
+                    near += self.v[who][row, d] * some[column, d]
+                np.add.at(self.n[who], row, np.round(near, 9) > self.least[who][row])
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(self.n)], ["query_id", "n"])
+
+
+class Truths:
+    """Of each query the best other item of its label by (score to four places, id), or how many other items are above ``score, best``."""
+
+    def __init__(self, asked: pa.Table, item: str):
+        self.ids, self.v, self.item, self.counting = asked.column("query_id").to_numpy(), matrix(asked.column("qv")), item, "score" in asked.column_names
+        if self.counting:
+            self.score, self.best = asked.column("score").to_numpy(), asked.column("best").to_numpy()
+            self.n = np.zeros(len(self.ids), dtype=np.int64)
+        else:
+            self.labels = asked.column("label").to_numpy()
+            self.score, self.best = np.full(len(self.ids), -np.inf), np.zeros(len(self.ids), dtype=np.int64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        x, items = matrix(batch.column("v")), batch.column(self.item).to_numpy()
+        labels = None if self.counting else batch.column("label").to_numpy()
+        for at in range(0, len(x), Best.COLUMNS):
+            here = slice(at, at + Best.COLUMNS)
+            for q in range(0, len(self.ids), Best.ROWS):
+                who = slice(q, q + Best.ROWS)
+                scores, other = (self.v[who] @ x[here].T + 1) / 2, self.ids[who, None] != items[here][None, :]
+                if self.counting:
+                    above = (scores > self.score[who, None] + 1e-4) & other
+                    self.n[who] += above.sum(1)
+                    row, column = np.nonzero((scores > self.score[who, None] - 1e-4) & other & ~above)
+                    s, b = np.round(scores[row, column], 4), self.score[who][row]
+                    np.add.at(self.n[who], row, (s > b) | ((s == b) & (items[here][column] > self.best[who][row])))
+                    continue
+                scores = np.where(other & (self.labels[who, None] == labels[here][None, :]), scores, -np.inf)
+                least = np.maximum(scores.max(1), self.score[who])
+                row, column = np.nonzero((scores >= least[:, None] - 1e-4) & (scores > -np.inf))
+                s, i = np.round(scores[row, column], 4), items[here][column]
+                last = np.lexsort((i, s, row))
+                end = last[np.append(row[last][1:] != row[last][:-1], True)] if len(last) else last
+                r, s, i = row[end], s[end], i[end]
+                better = (s > self.score[who][r]) | ((s == self.score[who][r]) & (i > self.best[who][r]))
+                self.score[who][r[better]], self.best[who][r[better]] = s[better], i[better]
+
+    def rows(self) -> pa.RecordBatch:
+        if self.counting:
+            return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(self.n)], ["query_id", "n"])
+        met = ~np.isneginf(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[met]), pa.array(self.score[met]), pa.array(self.best[met])], ["query_id", "score", "best"])
+
+
+def counts_above(queries: DataFrame, items: DataFrame, item: str = "item_id", carried: int = CARRIED) -> DataFrame:
+    """``query_id, n`` of ``query_id, qv, label, least``: how many items (``item, v, label``) of other labels have a dot product, to nine places, above ``least``."""
+    found = over_blocks(queries, items.where("v is not null and label is not null"), item, lambda block: Counts(block, item), "query_id long, n long", carried)
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def best_truths(queries: DataFrame, items: DataFrame, item: str = "item_id", carried: int = CARRIED) -> DataFrame:
+    """``query_id, rank`` of ``query_id, qv, label``: how many other items (``item, v, label``) stand above the best one of its label, by score to four places, then the higher id."""
+    asked, offered = queries.where("qv is not null"), items.where("v is not null")
+    each = over_blocks(asked.where("label is not null"), offered.where("label is not null"), item, lambda block: Truths(block, item), "query_id long, score double, best long", carried)
+    best = each.groupBy("query_id").agg(F.max(F.struct("score", "best")).alias("b")).select("query_id", "b.*")
+    found = over_blocks(cut(asked.select("query_id", "qv").join(best, "query_id")), offered.select(item, "v"), item, lambda block: Truths(block, item), "query_id long, n long", carried)
+    return found.groupBy("query_id").agg(F.sum("n").alias("rank"))
+
+
 def first_k(queries: DataFrame, items: DataFrame, k: int, item: str = "item_id", fields: Fields | None = None) -> DataFrame:
     """``query_id, item, score, rank``: the first k items, by id, that fit each query's filters; scores are null."""
     none = F.array().cast("array<double>")

@@ -142,3 +142,26 @@ def test_documents(spark, nodes, tmp_path):
     assert [(r["doc_id"], r["rrf"]) for r in by[3]] == [(20, None)] and not by[4] and not by[5] and not by[6]
     assert index.documents(queries.limit(0), 3).count() == 0
     assert index.lexical(queries.where("query_id = 1"), 2).count() == 2
+
+
+@pytest.mark.parametrize("carried", [blocks.CARRIED, 0])
+def test_ranks_by_blocks_equal_brute_force(spark, carried, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    monkeypatch.setattr(blocks.Best, "ROWS", 4)
+    monkeypatch.setattr(blocks.Best, "COLUMNS", 7)
+    rng = random.Random(5)
+    rows = [(k, rng.randint(0, 3), [rng.choice([-0.6, 0.0, 0.6, 0.8]) for _ in range(3)]) for k in range(60)]  # many ties
+    items = spark.createDataFrame(rows, "item_id long, label int, v array<double>")
+    asked = items.where("item_id % 3 = 0").selectExpr("item_id as query_id", "label", "v as qv")
+    dots = {(q, i): sum(x * y for x, y in zip(v, w, strict=True)) for q, _, v in rows[::3] for i, _, w in rows}
+    label = {i: g for i, g, _ in rows}
+    score = {p: round((s + 1) / 2, 4) for p, s in dots.items()}
+    expected = {}
+    for q in range(0, 60, 3):
+        if truths := [(score[q, i], i) for i in label if i != q and label[i] == label[q]]:
+            expected[q] = sum((score[q, i], i) > max(truths) for i in label if i != q)
+    assert {r["query_id"]: r["rank"] for r in blocks.best_truths(asked, items, carried=carried).collect()} == expected
+    least = asked.withColumn("least", F.round(F.aggregate("qv", F.lit(0.0), lambda s, x: s + x) * 0.6, 9))
+    got = {r["query_id"]: r["n"] for r in blocks.counts_above(least, items, carried=carried).collect()}
+    bounds = {r["query_id"]: r["least"] for r in least.collect()}
+    assert got == {q: sum(round(dots[q, i], 9) > bounds[q] and label[i] != label[q] for i in label) for q in bounds}
