@@ -60,8 +60,8 @@ def listed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey")
     old = o.select(F.lit(0).alias("n"), k, F.concat(F.lit("old/"), k.cast("string"), F.lit(".mp4")).alias("line"))
     new = o.where("o_orderkey % 3 = 0").select(F.lit(1).alias("n"), k, F.concat(F.lit("new/"), k.cast("string"), F.lit(".mp4")).alias("line"))
-    # the reader takes one file: lines of both lists in order
-    old.unionByName(new).coalesce(1).sortWithinPartitions("n", "o_orderkey").select("line").write.text(path)
+    # lines of both lists in order, over the files
+    old.unionByName(new).repartitionByRange("n", "o_orderkey").sortWithinPartitions("n", "o_orderkey").select("line").write.text(path)
     return readers.path_list(spark, path)
 
 

@@ -96,8 +96,13 @@ def mot_results(spark: SparkSession, path: str, kind: str = "result", classes: S
 
 
 def path_list(spark: SparkSession, path: str) -> DataFrame:
-    """``name`` (base name without extension) and ``path`` of each listed line; of equal names the last line wins."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).select("n", F.trim("line").alias("path")).where("path <> ''")
+    """``name`` (base name without extension) and ``path`` of each listed line; of equal names the last line wins (of several files, that of the last by name).
+
+    Files are read in splits; lines of a split come in order, so a line's place is its file, its split's start and its number there.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = lines.select(place.alias("n"), F.trim("value").alias("path")).where("path <> ''")
     return rows.withColumn("name", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).groupBy("name").agg(F.max_by("path", "n").alias("path"))
 
 
