@@ -19,6 +19,8 @@ from evalloom.storage import cut, partitions
 
 #: Bytes of queries that go to every task, and queries of a block where there are more.
 CARRIED, BLOCK = 32 << 20, 1024
+#: Pairs of a batch that a task gives out.
+PAIRS = 1 << 18
 
 
 class Best:
@@ -233,6 +235,37 @@ def best_truths(queries: DataFrame, items: DataFrame, item: str = "item_id", car
     return found.groupBy("query_id").agg(F.sum("n").alias("rank"))
 
 
+def softmax_over_queries(queries: DataFrame, items: DataFrame, item: str = "item_id", places: int = 6) -> DataFrame:
+    """``query_id, item, score`` of all pairs but a row with itself: (1 + dot product) / 2 to four places, times its softmax over the item's queries.
+
+    All queries travel with the tasks, which need every score of an item; a task holds ``PAIRS`` of them at a time.
+    """
+    block = queries.where("qv is not null").select("query_id", F.col("qv").cast("array<double>").alias("qv")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, v = block.column("query_id").to_numpy(), matrix(block.column("qv"))
+        step = max(1, PAIRS // max(1, len(ids)))
+        for batch in batches:
+            x, items_ = matrix(batch.column("v")), batch.column(item).to_numpy()
+            for at in range(0, len(x) if len(ids) else 0, step):
+                of = items_[at : at + step]
+                scores = np.round((x[at : at + step] @ v.T + 1) / 2, 4)
+                other = of[:, None] != ids[None, :]
+                top = np.where(other, scores, -np.inf).max(1, keepdims=True)
+                grown = np.where(other, np.exp(scores - np.where(np.isneginf(top), 0, top)), 0)
+                row, column = np.nonzero(other)
+                total = grown.sum(1, keepdims=True)
+                out = np.round(scores * grown / np.where(total > 0, total, 1), places)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[column]), pa.array(of[row]), pa.array(out[row, column])], ["query_id", item, "score"])
+
+    offered = items.where("v is not null").select(F.col(item).cast("long").alias(item), "v")
+    found = offered.repartition(partitions(items.sparkSession), item).mapInArrow(run, f"query_id long, {item} long, score double")
+    # pairs without a vector have no score
+    none = F.lit(None).cast("double").alias("score")
+    blank = queries.select("query_id").crossJoin(items.where("v is null").select(item)).unionByName(queries.where("qv is null").select("query_id").crossJoin(items.where("v is not null").select(item)))
+    return found.unionByName(blank.where(F.col("query_id") != F.col(item)).select("query_id", item, none))
+
+
 def first_k(queries: DataFrame, items: DataFrame, k: int, item: str = "item_id", fields: Fields | None = None) -> DataFrame:
     """``query_id, item, score, rank``: the first k items, by id, that fit each query's filters; scores are null."""
     none = F.array().cast("array<double>")
