@@ -11,6 +11,8 @@ from evalloom.functions.vectors import dot
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Terms of all queries that go to every task.
+CARRIED = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -28,19 +30,21 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc_id, score`` of every document that shares a term; each distinct query term counts once.
 
-    Only postings of query terms are scored: the distinct terms of all queries semi-join the documents' terms before
-    anything is shuffled by document.
+    Texts are dealt by document once; a document's terms, weights and scores are made where it lies, so no posting and no
+    pair of a query and a document is shuffled. Up to ``CARRIED`` terms of queries go to every task; more are joined.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
-    t = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("terms"))
-    corpus = t.agg(F.count_if(F.size("terms") > 0).alias("n_docs"), (F.sum(F.size("terms")) / F.count_if(F.size("terms") > 0)).alias("avg_len"))
+    distinct = wanted.select("term").distinct()
+    few = F.broadcast if wanted.count() <= CARRIED else lambda rows: rows
+    corpus = docs.select(terms(F.col(text)).alias("terms")).agg(F.count_if(F.size("terms") > 0).alias("n_docs"), (F.sum(F.size("terms")) / F.count_if(F.size("terms") > 0)).alias("avg_len"))
+    t = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id").select("doc_id", terms(F.col("text")).alias("terms"))
     each = t.select("doc_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
-    tf = each.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    tf = each.join(few(distinct), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus))  # one row of corpus totals
-    weighed = weighed.select("term", "doc_id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))).alias("w"))
-    return wanted.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    asked = wanted.join(df, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", idf.alias("idf"), "avg_len")  # one row of corpus totals
+    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
+    return tf.join(few(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
 
 
 def vector_scores(queries: DataFrame, items: DataFrame, on: Sequence[str] = ()) -> DataFrame:
@@ -57,7 +61,8 @@ def top_k(scored: DataFrame, k: int, item: str = "item_id", least: float | None
     """The best k of each query with their 0-based ``rank``; ties by item id. Spark prunes groups before the shuffle."""
     kept = scored if least is None else scored.where(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(item))
-    return kept.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    # Spark prunes by the row number itself, not by an expression of it
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def fuse(rankings: Sequence[DataFrame], k: int, item: str = "item_id", constant: int = RRF_K) -> DataFrame:

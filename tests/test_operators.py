@@ -207,3 +207,40 @@ def test_duplicate_tracks_of_two_lists(spark):
     # equal ages: that of the first list goes; a distance of 0.1 is none of a duplicate
     assert sorted(r["track_id"] for r in left.collect()) == [2, 3]
     assert sorted(r["track_id"] for r in right.collect()) == [11, 13]
+
+
+def test_listed_paths_are_read_in_splits(spark, tmp_path):
+    lines = [f"/{k}/{k % 700}.mp4" for k in range(5000)]
+    (tmp_path / "list.txt").write_text("\n".join(lines))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        assert spark.read.text(str(tmp_path / "list.txt")).rdd.getNumPartitions() > 3
+        got = readers.path_list(spark, str(tmp_path / "list.txt"))
+        assert "wholetext" not in got._jdf.queryExecution().toString().lower()
+        assert {r["name"]: r["path"] for r in got.collect()} == {str(k % 700): f"/{k}/{k % 700}.mp4" for k in range(5000)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_bm25_shuffles_texts_only(spark):
+    docs = spark.createDataFrame([(k, f"a b{k % 3} c{k % 5} c{k % 5}") for k in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a b1"), (2, "c2 c3")], "query_id long, query string")
+    scored = retrieval.bm25(docs, queries)
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan
+    assert "WindowGroupLimit" in retrieval.top_k(scored, 3, "doc_id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_softmax_of_blocks_equals_a_window(spark):
+    from evalloom.operators import blocks, ranking
+
+    items = spark.createDataFrame([(k, [0.1 * (k % 7), 0.6 - 0.1 * (k % 4)] if k != 9 else None) for k in range(30)], "item_id long, v array<double>")
+    q = items.where("item_id % 4 = 0 or item_id = 9").selectExpr("item_id as query_id", "v as qv")
+    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = q.join(items, F.col("query_id") != F.col("item_id")).select("query_id", "item_id", F.round((dot + 1) / 2, 4).alias("score"))
+    expected = {(r[0], r[1]): r[2] for r in ranking.dual_softmax(pairs, "item_id").select("query_id", "item_id", F.round("score", 6)).collect()}
+    assert {(r[0], r[1]): r[2] for r in blocks.softmax_over_queries(q, items).collect()} == expected
