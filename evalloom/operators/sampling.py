@@ -9,10 +9,14 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as T
 
 from evalloom.operators.positions import blocks_of, numbered
 
+#: Rows of a block of the sliding meter.
+METER_BLOCK = 1 << 18
+
 
 def take(rows: DataFrame, strategy: str, order: str, seed: int = 0) -> DataFrame:
     """``all``, ``first:N``, ``end:N``, ``random:N``, each N a number or a share such as ``10%`` (rounded up).
@@ -164,16 +168,26 @@ def round_robin(types: DataFrame, games: DataFrame, kind: str, game: str, each:
 def sliding_meter(rows: DataFrame, key: str, order: Sequence[str], value: str, size: int = 50) -> DataFrame:
     """Median, mean and latest of the last ``size`` values of each key, and its running mean and total.
 
-    Rows that agree in ``order`` come by their value, so the result doesn't depend on how the rows are dealt.
+    Rows that agree in ``order`` come by their value, so the result doesn't depend on how the rows are dealt. Rows are dealt in
+    blocks of positions; a block brings along the last rows of the one before, and sums of blocks give the running values.
     """
-    by = Window.partitionBy(key).orderBy(*order, value)
-    last, all_ = by.rowsBetween(-(size - 1), 0), by.rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
+    at = numbered(rows.select(key, *order, value), [key, *order, value], "_at")
+    block = F.floor(F.col("_at") / METER_BLOCK)
+    own = at.withColumn("_block", block).withColumn("_own", F.lit(True))
+    before = at.where(F.pmod("_at", F.lit(METER_BLOCK)) >= METER_BLOCK - size + 1).withColumn("_block", block + 1).withColumn("_own", F.lit(False))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(key, "_block").agg(F.sum(v).alias("s"), F.count(v).alias("n"))  # a row for each block of a key
+    sums = sums.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"))
+    by = Window.partitionBy(key, "_block").orderBy("_at")
+    last, all_ = by.rowsBetween(-(size - 1), 0), by.rowsBetween(Window.unboundedPreceding, 0)
     held = F.sort_array(F.collect_list(v).over(last))  # at most ``size`` values
     median = (F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")) + F.get(held, F.floor(F.size(held) / 2).cast("int"))) / 2
-    return rows.select(
-        key, *order, median.alias("median"), F.avg(v).over(last).alias("avg"), v.alias("latest"), F.avg(v).over(all_).alias("global_avg"), F.sum(v).over(all_).alias("total")
-    )
+    mine = F.when(F.col("_own"), v)
+    local = own.unionByName(before).select(key, *order, "_block", "_own", median.alias("median"), F.avg(v).over(last).alias("avg"), v.alias("latest"), F.sum(mine).over(all_).alias("_ls"), F.count(mine).over(all_).alias("_ln"))
+    met = local.where("_own").join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    n, total = F.col("_n") + F.col("_ln"), F.col("_s") + F.coalesce("_ls", F.lit(0.0))
+    return met.select(key, *order, "median", "avg", "latest", F.when(n > 0, total / n).alias("global_avg"), F.when(n > 0, total).alias("total"))
 
 
 def whiten(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

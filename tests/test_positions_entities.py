@@ -156,3 +156,18 @@ def test_names_of_the_same_letters_are_tried_as_one_kind(spark, monkeypatch):
     got = {r["name"]: r["known"] for r in entities.closest_names(rows, canon).collect()}
     assert got == {n: max((difflib.SequenceMatcher(None, k.lower(), n).ratio(), k.lower()) for k in known)[1] for n in names}
     assert sizes and sizes[0][0] < len(names) and sizes[0][1] < len(known) / 2
+
+
+def test_sliding_meter_in_blocks_equals_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "METER_BLOCK", 64)
+    rng = random.Random(8)
+    rows = [(rng.choice("ab") if k % 5 else "c", k, float(rng.randint(1, 50))) for k in range(700)]
+    got = {r["k"]: r for r in sampling.sliding_meter(spark.createDataFrame(rows, "g string, k long, v double"), "g", ["k"], "v", 9).collect()}
+    assert len(got) == 700
+    for g in "abc":
+        held = []
+        for _, k, v in (r for r in rows if r[0] == g):
+            held.append(v)
+            some = sorted(held[-9:])
+            mid = (some[(len(some) - 1) // 2] + some[len(some) // 2]) / 2
+            assert (got[k]["median"], got[k]["avg"], got[k]["total"], got[k]["latest"]) == (mid, pytest.approx(sum(some) / len(some)), sum(held), v) and got[k]["global_avg"] == pytest.approx(sum(held) / len(held))
