@@ -9,7 +9,6 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
 from evalloom.operators.positions import blocks_of, numbered
