@@ -23,43 +23,21 @@ CARRIED, BLOCK = 32 << 20, 1024
 PAIRS = 1 << 18
 
 
-class Best:
-    """The best k items of each query of a block so far: higher scores first, then smaller item ids.
+class Kept:
+    """The best k items of each query so far: higher scores first, then smaller item ids; a score of minus infinity is none."""
 
-    Scores are made for ``ROWS`` queries and ``COLUMNS`` items at a time; only those that can be among the best are kept and rounded.
-    """
-
-    ROWS, COLUMNS = 1024, 2048
-
-    def __init__(self, asked: pa.Table, k: int, fields: Fields, item: str, places: int):
-        self.ids, self.k, self.fields, self.item, self.places = asked.column("query_id").to_numpy(), k, fields, item, places
-        self.v = matrix(asked.column("qv"))
-        self.scores, self.items = np.full((len(self.ids), k), -np.inf), np.zeros((len(self.ids), k), dtype=np.int64)
-        self.groups: dict[str, tuple[dict, list[int]]] = {}
-        for q, given in enumerate(asked.column("filters").to_pylist()):
-            filters = dict(given) if given else {}
-            self.groups.setdefault(repr(sorted(filters.items())), (filters, []))[1].append(q)
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        batch = batch.filter(pa.array(np.asarray(batch.column("v").is_valid())))
-        if not len(batch) or not len(self.ids):
-            return
-        x, items = matrix(batch.column("v")), batch.column(self.item).to_numpy()
-        for filters, members in self.groups.values():
-            fit, members = np.flatnonzero(self.fields.mask(batch, filters)), np.array(members)
-            for at in range(0, len(fit), self.COLUMNS):
-                some = fit[at : at + self.COLUMNS]
-                for q in range(0, len(members), self.ROWS):
-                    self._merge(members[q : q + self.ROWS], x[some], items[some])
+    def __init__(self, ids: np.ndarray, k: int, item: str, places: int):
+        self.ids, self.k, self.item, self.places = ids, k, item, places
+        self.scores, self.items = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
 
-    def _merge(self, who: np.ndarray, x: np.ndarray, items: np.ndarray) -> None:
-        scores = (self.v[who] @ x.T + 1) / 2
+    def merge(self, who: np.ndarray, scores: np.ndarray, items: np.ndarray) -> None:
+        """Take ``scores`` [queries ``who``, ``items``]; only those that can be among the best are rounded and kept."""
         least = self.scores[who, -1]
         unfilled = np.flatnonzero(np.isneginf(least))
         if len(unfilled) and len(items) > self.k:
             least[unfilled] = np.partition(scores[unfilled], -self.k, axis=1)[:, -self.k]
         # what is rounded to the k-th score stays for its ids
-        row, column = np.nonzero(scores >= (least - 1.2 * 10.0**-self.places)[:, None])
+        row, column = np.nonzero((scores >= (least - 1.2 * 10.0**-self.places)[:, None]) & (scores > -np.inf))
         if not len(row):
             return
         met, place = np.unique(row, return_inverse=True)
@@ -77,6 +55,42 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q], pa.int64()), pa.array(self.items[q, k], pa.int64()), pa.array(self.scores[q, k], pa.float64())], ["query_id", self.item, "score"])
 
 
+def by_filters(given: list) -> list[tuple[dict, np.ndarray]]:
+    """Distinct filters and the places of the queries that have them."""
+    groups: dict[str, tuple[dict, list[int]]] = {}
+    for q, of in enumerate(given):
+        filters = dict(of) if of else {}
+        groups.setdefault(repr(sorted(filters.items())), (filters, []))[1].append(q)
+    return [(filters, np.array(members)) for filters, members in groups.values()]
+
+
+class Best(Kept):
+    """The best k items of each query of a block by its vector.
+
+    Scores are made for ``ROWS`` queries and ``COLUMNS`` items at a time; only those that can be among the best are kept and rounded.
+    """
+
+    ROWS, COLUMNS = 1024, 2048
+
+    def __init__(self, asked: pa.Table, k: int, fields: Fields, item: str, places: int):
+        super().__init__(asked.column("query_id").to_numpy(), k, item, places)
+        self.fields, self.v = fields, matrix(asked.column("qv"))
+        self.groups = by_filters(asked.column("filters").to_pylist())
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        batch = batch.filter(pa.array(np.asarray(batch.column("v").is_valid())))
+        if not len(batch) or not len(self.ids):
+            return
+        x, items = matrix(batch.column("v")), batch.column(self.item).to_numpy()
+        for filters, members in self.groups:
+            fit = np.flatnonzero(self.fields.mask(batch, filters))
+            for at in range(0, len(fit), self.COLUMNS):
+                some = fit[at : at + self.COLUMNS]
+                for q in range(0, len(members), self.ROWS):
+                    who = members[q : q + self.ROWS]
+                    self.merge(who, (self.v[who] @ x[some].T + 1) / 2, items[some])
+
+
 def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length as rows of doubles; none may be null."""
     held = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors

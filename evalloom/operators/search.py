@@ -8,16 +8,91 @@ a run that dies before leaves nothing that is read, and the next run under the s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalloom.operators.blocks import block_top_k, first_k
+from evalloom.operators.blocks import Best, Kept, block_top_k, by_filters, first_k
 from evalloom.operators.filters import Fields
-from evalloom.operators.retrieval import K1, RRF_K, B, fuse, terms, top_k
+from evalloom.operators.retrieval import CARRIED, K1, RRF_K, B, fuse, terms, top_k
 
 SHARDS = 64
 #: Scores are compared at so many places, so that sums in another order rank alike.
 PLACES = 6
+#: Scores of queries and nodes that a task holds at a time.
+HELD = 1 << 22
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``node_id, terms`` each distinct term of a batch with its nodes, the counts there and the nodes' lengths."""
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column("node_id")))
+        n, lists = len(batch), batch.column("terms")
+        words = lists.flatten().dictionary_encode()
+        places = words.indices.to_numpy().astype(np.int64) * n + pc.list_parent_indices(lists).to_numpy()
+        pairs, tf = np.unique(places, return_counts=True)
+        term, row = pairs // max(n, 1), pairs % max(n, 1)
+        start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, dtype=int)
+        ends = pa.array(np.append(start, len(term)), pa.int32())
+        length = pc.list_value_length(lists).to_numpy()[row]
+        held = [pa.array(batch.column("node_id").to_numpy()[row], pa.int64()), pa.array(tf, pa.int32()), pa.array(length, pa.int32())]
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[start])), *(pa.ListArray.from_arrays(ends, x) for x in held)], ["term", "nodes", "tf", "length"])
+
+
+class Matches(Kept):
+    """The best k nodes of each query by BM25, of postings that come node by node.
+
+    ``asked``: ``query_id, no, idf, mean``, a row for each query and term ``no``.
+    """
+
+    def __init__(self, asked: pa.Table, filters: dict | None, k: int, fields: Fields):
+        ids, self.who = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
+        super().__init__(ids, k, "node_id", PLACES)
+        no = asked.column("no").to_numpy()
+        order = np.argsort(no, kind="stable")
+        self.who, n = self.who[order], int(no.max()) + 1 if len(no) else 0
+        self.start = np.searchsorted(no[order], np.arange(n + 1))
+        self.idf = asked.column("idf").to_numpy()[order][self.start[:-1]] if n else np.zeros(0)
+        self.mean, self.fields = asked.column("mean")[0].as_py() if n else None, fields
+        self.groups = None if filters is None else by_filters([filters.get(q) for q in ids.tolist()])
+
+    def add(self, rows: pa.Table) -> None:
+        """Whole nodes, sorted by ``node_id, _no``; where there are filters, a row without ``_no`` has a node's metadata."""
+        if not len(self.ids) or not len(rows):
+            return
+        node = rows.column("node_id").to_numpy()
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
+        hit = np.asarray(rows.column("_no").is_valid())
+        fits = None
+        if self.groups is not None:
+            met = np.flatnonzero(~hit)
+            fits = np.zeros((len(self.groups), len(first)), dtype=bool)
+            for batch in rows.select(["node_id", *self.fields.columns()]).take(pa.array(met)).combine_chunks().to_batches():
+                for g, (filters, _) in enumerate(self.groups):
+                    fits[g, of[met[: len(batch)]]] = self.fields.mask(batch, filters)
+                met = met[len(batch) :]
+        some = rows.filter(pa.array(hit))
+        of, no, tf, length = of[hit], *(some.column(c).to_numpy() for c in ("_no", "_tf", "_length"))
+        w = self.idf[no] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+        step = min(Best.COLUMNS, max(1, HELD // len(self.ids)))
+        for at in range(0, len(first), step):
+            to = min(at + step, len(first))
+            here = slice(*np.searchsorted(of, (at, to)))
+            n = self.start[no[here] + 1] - self.start[no[here]]
+            each = np.repeat(np.arange(len(n)), n)
+            who = self.who[np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + self.start[no[here]][each]]
+            scores = np.bincount(who * (to - at) + of[here][each] - at, w[here][each], len(self.ids) * (to - at)).astype(float).reshape(len(self.ids), to - at)
+            scores[scores == 0] = -np.inf
+            if fits is None:
+                self.merge(np.arange(len(self.ids)), scores, node[first[at:to]])
+                continue
+            for g, (_, members) in enumerate(self.groups):
+                self.merge(members, np.where(fits[g, None, at:to], scores[members], -np.inf), node[first[at:to]])
 
 
 class SearchIndex:
@@ -73,10 +148,11 @@ class SearchIndex:
 
         kept = put(new, "nodes")
         cut = kept.select("node_id", terms(F.col("content")).alias("terms")).where(F.size("terms") > 0)
-        each = cut.select("node_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        counted = each.groupBy("term", "node_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-        dealt = counted.withColumn("shard", self._shard(F.col("term"))).repartition("shard", F.pmod(F.xxhash64("node_id"), F.lit(8)))
-        written = put(dealt.sortWithinPartitions("shard", "term"), "postings", "shard")
+        # a term is shuffled once with all its nodes of a batch
+        counted = cut.select(F.col("node_id").cast("long"), "terms").mapInArrow(_counted, "term string, nodes array<long>, tf array<int>, length array<int>")
+        dealt = counted.withColumn("shard", self._shard(F.col("term"))).repartition("shard", F.pmod(F.xxhash64(F.col("nodes")[0]), F.lit(8)))
+        flat = dealt.select("term", F.inline(F.arrays_zip(F.col("nodes").alias("node_id"), "tf", "length")), "shard").withColumn("tf", F.col("tf").cast("long"))
+        written = put(flat.sortWithinPartitions("shard", "term", "node_id"), "postings", "shard")
         put(written.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df")).repartition("shard").sortWithinPartitions("shard", "term"), "frequencies", "shard")
         put(cut.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).cast("long").alias("length")), "lengths")
         self.spark.createDataFrame([(increment,)], "name string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
@@ -96,7 +172,46 @@ class SearchIndex:
         df = self._table("frequencies").join(wanted, ["shard", "term"], "left_semi").groupBy("shard", "term").agg(F.sum("df").alias("df"))
         idf = F.log(1 + (F.col("n_nodes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weights = df.crossJoin(F.broadcast(totals)).select("shard", "term", idf.alias("idf"), "mean")  # one row of totals
-        hits = self._table("postings").join(asked.join(weights, ["shard", "term"]), ["shard", "term"])
+        if asked.count() > CARRIED:
+            return self._joined(queries, asked.join(weights, ["shard", "term"]), k, where)
+        return self._matched(queries, asked.join(weights, ["shard", "term"]), k, where)
+
+    def _matched(self, queries: DataFrame, asked: DataFrame, k: int, where: Column | None) -> DataFrame:
+        """Few terms travel with the tasks. Postings are dealt by node, so its scores are made in one task and no pair of a query and a node is a row."""
+        held = asked.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "shard", "term", "idf", "mean").toArrow()
+        names = {t: k for k, t in enumerate(sorted(set(zip(held.column("shard").to_pylist(), held.column("term").to_pylist(), strict=True))))}
+        block = held.append_column("no", pa.array([names[t] for t in zip(held.column("shard").to_pylist(), held.column("term").to_pylist(), strict=True)], pa.int32()))
+        numbers = self.spark.createDataFrame([(*t, k) for t, k in names.items()], "shard int, term string, no int")
+        postings = self._table("postings").where(F.col("shard").isin(sorted({s for s, _ in names})))
+        rows = postings.join(F.broadcast(numbers), ["shard", "term"]).select(F.col("node_id").cast("long").alias("node_id"), F.col("no").alias("_no"), F.col("tf").cast("int").alias("_tf"), F.col("length").alias("_length"))
+        filters, fields = None, self.fields
+        if "filters" in queries.columns or where is not None:
+            filters = {r["query_id"]: r["filters"] for r in queries.select(F.col("query_id").cast("long").alias("query_id"), "filters").collect()} if "filters" in queries.columns else {}
+            allowed = self.nodes() if where is None else self.nodes().where(where)
+            rows = rows.unionByName(allowed.select(F.col("node_id").cast("long").alias("node_id"), *fields.columns()), allowMissingColumns=True)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, waiting = Matches(block, filters, k, fields), []
+            for batch in batches:
+                if not len(batch):
+                    continue
+                # the last node goes on in the next batch
+                node = batch.column("node_id").to_numpy()
+                end = int(np.searchsorted(node, node[-1]))
+                if end or (waiting and waiting[-1].column("node_id")[0] != batch.column("node_id")[0]):
+                    found.add(pa.Table.from_batches([*waiting, batch.slice(0, end)]))
+                    waiting = []
+                waiting.append(batch.slice(end))
+            if waiting:
+                found.add(pa.Table.from_batches(waiting))
+            yield found.rows()
+
+        scored = rows.repartition("node_id").sortWithinPartitions("node_id", "_no").mapInArrow(run, "query_id long, node_id long, score double")
+        return top_k(scored, k, "node_id")
+
+    def _joined(self, queries: DataFrame, asked: DataFrame, k: int, where: Column | None) -> DataFrame:
+        """Any number of terms: pairs of a query and a node that share a term are rows."""
+        hits = self._table("postings").join(asked, ["shard", "term"])
         hits = hits.select("query_id", "node_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("w"))
         scored = hits.groupBy("query_id", "node_id").agg(F.round(F.sum("w"), PLACES).alias("score"))
         return top_k(self._fitting(scored, queries, where), k, "node_id")

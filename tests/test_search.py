@@ -165,3 +165,22 @@ def test_ranks_by_blocks_equal_brute_force(spark, carried, monkeypatch):
     got = {r["query_id"]: r["n"] for r in blocks.counts_above(least, items, carried=carried).collect()}
     bounds = {r["query_id"]: r["least"] for r in least.collect()}
     assert got == {q: sum(round(dots[q, i], 9) > bounds[q] and label[i] != label[q] for i in label) for q in bounds}
+
+
+def test_lexical_scores_where_the_node_lies(spark, nodes, tmp_path, monkeypatch):
+    index = search.SearchIndex(spark, str(tmp_path / "index"), Fields(scalars=("kind",)), 3)
+    index.ingest(nodes.where("node_id < 30"), "a")
+    index.ingest(nodes, "b")
+    rows = [(1, "late goal", None), (2, "goal shot", {"kind": ["s"]}), (3, "a second row of goal", {"kind": ["t", "r"]}), (4, "zzz", None), (5, "", None)]
+    queries = spark.createDataFrame(rows, "query_id long, query string, filters map<string,array<string>>")
+    monkeypatch.setattr(search, "HELD", 12)
+    for asked, where in ((queries, None), (queries.drop("filters"), None), (queries, F.col("doc_id") % 2 == 0), (queries.drop("filters"), F.col("doc_id") % 2 == 0)):
+        found = index.lexical(asked, 4, where)
+        with monkeypatch.context() as m:
+            m.setattr(search, "CARRIED", 0)
+            joined = index.lexical(asked, 4, where)
+        assert sorted(map(tuple, found.select("query_id", "node_id", "score", "rank").collect())) == sorted(map(tuple, joined.select("query_id", "node_id", "score", "rank").collect()))
+        assert found.count() >= 9
+    # a pair of a query and a node isn't shuffled before it is among a task's best
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan(index.lexical(queries, 4)) and "Aggregate [query_id" in plan(joined)
