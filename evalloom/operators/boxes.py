@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.geometry import Box, intersection, iou, union
-from evalloom.operators.groups import map_groups
+from evalloom.operators.groups import map_groups, starts, whole_groups
 
 COORDS = ("x1", "y1", "x2", "y2")
 
@@ -90,46 +91,96 @@ def dynamic_mapping(pairs: DataFrame, truth: DataFrame, threshold: float) -> Dat
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Optimal assignment of rows to columns (shortest augmenting paths); cost may be rectangular."""
-    flip = cost.shape[0] > cost.shape[1]
-    c = cost.T if flip else cost
-    n, m = c.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
+    _, i, j = hungarian_many(cost[None])
+    return list(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def hungarian_many(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``problem, row, column`` of the optimal assignments of many problems of one shape [problems, rows, columns], in step."""
+    flip = cost.shape[1] > cost.shape[2]
+    c = cost.transpose(0, 2, 1) if flip else cost
+    every, n, m = c.shape
+    u, v, match = np.zeros((every, n + 1)), np.zeros((every, m + 1)), np.zeros((every, m + 1), dtype=int)
     for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=int)
-        while True:
-            used[j0] = True
-            slack = c[match[j0] - 1] - u[match[j0]] - v[1:]
-            better = ~used[1:] & (slack < least[1:])
-            least[1:][better], way[1:][better] = slack[better], j0
-            j1 = int(np.argmin(np.where(used, np.inf, least)[1:])) + 1
-            step = least[j1]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return [(j, i) for i, j in pairs] if flip else pairs
+        match[:, 0] = i
+        at, live = np.zeros(every, dtype=int), np.arange(every)
+        least, used, way = np.full((every, m + 1), np.inf), np.zeros((every, m + 1), dtype=bool), np.zeros((every, m + 1), dtype=int)
+        while len(live):
+            j0 = at[live]
+            used[live, j0] = True
+            row, seen, low, back = match[live, j0], used[live], least[live], way[live]
+            slack = c[live, row - 1] - u[live, row][:, None] - v[live, 1:]
+            better = ~seen[:, 1:] & (slack < low[:, 1:])
+            low[:, 1:], back[:, 1:] = np.where(better, slack, low[:, 1:]), np.where(better, j0[:, None], back[:, 1:])
+            j1 = np.argmin(np.where(seen, np.inf, low)[:, 1:], axis=1) + 1
+            step = low[np.arange(len(live)), j1][:, None]
+            b, j = np.nonzero(seen)
+            u[live[b], match[live[b], j]] += step[b, 0]
+            v[live] = np.where(seen, v[live] - step, v[live])
+            least[live], way[live], at[live] = np.where(seen, low, low - step), back, j1
+            live = live[match[live, j1] != 0]
+        live = np.arange(every)
+        while len(live):
+            before = way[live, at[live]]
+            match[live, at[live]] = match[live, before]
+            at[live] = before
+            live = live[before != 0]
+    b, j = np.nonzero(match[:, 1:])
+    i = match[b, j + 1] - 1
+    return (b, j, i) if flip else (b, i, j)
+
+
+def assignments(cost: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``problem, row, column`` of problems of any shapes ``n`` x ``m``, whose costs stand one after the other."""
+    start, out = np.cumsum(n * m) - n * m, []
+    for shape in sorted(set(zip(n.tolist(), m.tolist(), strict=True))):
+        if all(shape):
+            who = np.flatnonzero((n == shape[0]) & (m == shape[1]))
+            b, i, j = hungarian_many(cost[start[who][:, None] + np.arange(shape[0] * shape[1])].reshape(-1, *shape))
+            out.append((who[b], i, j))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=int),) * 3
 
 
 def optimal_assignment(pairs: DataFrame, limit: float) -> DataFrame:
-    """By clip and frame: the assignment of least total (1 - iou), pairs over ``limit`` left out."""
-
-    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
-        t, p = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-        cost = np.full((len(t), len(p)), 1.0)
-        for a, b, x in rows:
-            cost[t.index(a), p.index(b)] = 1 - x
-        return [(*key, t[i], p[j], float(1 - cost[i, j])) for i, j in hungarian(np.minimum(cost, limit + 1e-6)) if cost[i, j] <= limit]
-
-    types = {c: pairs.schema[c].dataType.simpleString() for c in ("clip_id", "frame_id")}
-    rows = pairs.select("clip_id", "frame_id", "truth_id", "pred_id", "iou")
-    return map_groups(rows, ["clip_id", "frame_id"], ("truth_id", "pred_id"), solve, f"clip_id {types['clip_id']}, frame_id {types['frame_id']}, truth_id long, pred_id long, iou double")
+    """By clip and frame: the assignment of least total (1 - iou), pairs over ``limit`` left out.
+
+    The frames of a batch are solved together; a task holds a batch or one frame.
+    """
+    keys = ["clip_id", "frame_id"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, keys):
+            first = starts(rows, keys)
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+            truth, pred, x = (rows.column(c).to_numpy() for c in ("truth_id", "pred_id", "iou"))
+            (t, n), (p, m) = _places(of, truth, len(first)), _places(of, pred, len(first))
+            start = np.cumsum(n * m) - n * m
+            at, cost = start[of] + t * m[of] + p, np.full(int((n * m).sum()), 1.0)
+            cost[at] = 1 - x
+            b, i, j = assignments(np.minimum(cost, limit + 1e-6), n, m)
+            got = cost[start[b] + i * m[b] + j]
+            b, i, j, got = (y[got <= limit] for y in (b, i, j, got))
+            of_truth, of_pred = (np.zeros(int(k.sum()), dtype=np.int64) for k in (n, m))
+            to_truth, to_pred = np.cumsum(n) - n, np.cumsum(m) - m
+            of_truth[to_truth[of] + t], of_pred[to_pred[of] + p] = truth, pred
+            out = [*(rows.column(k).take(pa.array(first[b])) for k in keys), pa.array(of_truth[to_truth[b] + i]), pa.array(of_pred[to_pred[b] + j]), pa.array(1 - got)]
+            yield pa.RecordBatch.from_arrays(out, [*keys, "truth_id", "pred_id", "iou"])
+
+    types = {c: pairs.schema[c].dataType.simpleString() for c in keys}
+    rows = pairs.select(*keys, F.col("truth_id").cast("long"), F.col("pred_id").cast("long"), "iou")
+    schema = f"clip_id {types['clip_id']}, frame_id {types['frame_id']}, truth_id long, pred_id long, iou double"
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "truth_id", "pred_id").mapInArrow(solve, schema)
+
+
+def _places(of: np.ndarray, ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each id among the distinct ids of its group, and how many these are."""
+    order = np.lexsort((ids, of))
+    o, x = of[order], ids[order]
+    new = np.append(True, (o[1:] != o[:-1]) | (x[1:] != x[:-1]))
+    n = np.bincount(o[new], minlength=groups)
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1 - (np.cumsum(n) - n)[o]
+    return place, n
 
 
 def ordered_matches(pairs: DataFrame, threshold: float) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.functions import geometry, probability, text
-from evalloom.operators import accuracy, boxes, calibration, ranking, retrieval, runs, sampling
+from evalloom.operators import accuracy, boxes, calibration, groups, ranking, retrieval, runs, sampling
 from evalloom.sources import readers, sinks
 
 
@@ -244,3 +244,31 @@ def test_softmax_of_blocks_equals_a_window(spark):
     pairs = q.join(items, F.col("query_id") != F.col("item_id")).select("query_id", "item_id", F.round((dot + 1) / 2, 4).alias("score"))
     expected = {(r[0], r[1]): r[2] for r in ranking.dual_softmax(pairs, "item_id").select("query_id", "item_id", F.round("score", 6)).collect()}
     assert {(r[0], r[1]): r[2] for r in blocks.softmax_over_queries(q, items).collect()} == expected
+
+
+def test_assignments_of_many_frames_in_step(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (2, 3), (3, 2), (4, 4), (1, 5)):
+        cost = np.round(rng.random((40, *shape)), 1)  # many ties
+        b, i, j = boxes.hungarian_many(cost)
+        for k in range(40):
+            assert list(zip(i[b == k].tolist(), j[b == k].tolist(), strict=True)) == boxes.hungarian(cost[k])
+            best = min(sum(cost[k][(x, y) if shape[0] <= shape[1] else (y, x)] for x, y in enumerate(p)) for p in itertools.permutations(range(max(shape)), min(shape)))
+            assert np.isclose(cost[k][i[b == k], j[b == k]].sum(), best)
+    batch = pa.RecordBatch.from_pydict({"k": [None, None, 1, 1, 2, 2, 2, 3]})
+    for size in (1, 2, 3, 8):
+        whole = list(groups.whole_groups(iter([batch.slice(a, size) for a in range(0, 8, size)]), ["k"]))
+        assert [x for w in whole for x in w.column("k").to_pylist()] == batch.column("k").to_pylist()
+        held = [set(w.column("k").to_pylist()) for w in whole]
+        assert all(not (a & b) for a, b in itertools.combinations(held, 2))
+    rows = [(c, f, t, p, float(rng.integers(0, 5)) / 4) for c in range(3) for f in range(4) for t in range(f) for p in range(c + 1)]
+    pairs = spark.createDataFrame(rows, "clip_id long, frame_id int, truth_id long, pred_id long, iou double")
+    expected = []
+    for c in range(3):
+        for f in range(1, 4):
+            cost = np.array([[1 - next(r[4] for r in rows if r[:4] == (c, f, t, p)) for p in range(c + 1)] for t in range(f)])
+            expected += [(c, f, i, j, 1 - cost[i, j]) for i, j in boxes.hungarian(np.minimum(cost, 0.6 + 1e-6)) if cost[i, j] <= 0.6]
+    assert sorted(map(tuple, boxes.optimal_assignment(pairs, 0.6).collect())) == sorted(expected)
+    assert boxes.optimal_assignment(pairs.limit(0), 0.6).count() == 0
