@@ -91,8 +91,31 @@ def dynamic_mapping(pairs: DataFrame, truth: DataFrame, threshold: float) -> Dat
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Optimal assignment of rows to columns (shortest augmenting paths); cost may be rectangular."""
-    _, i, j = hungarian_many(cost[None])
-    return list(zip(i.tolist(), j.tolist(), strict=True))
+    flip = cost.shape[0] > cost.shape[1]
+    c = cost.T if flip else cost
+    n, m = c.shape
+    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=int)
+        while True:
+            used[j0] = True
+            slack = c[match[j0] - 1] - u[match[j0]] - v[1:]
+            better = ~used[1:] & (slack < least[1:])
+            least[1:][better], way[1:][better] = slack[better], j0
+            j1 = int(np.argmin(np.where(used, np.inf, least)[1:])) + 1
+            step = least[j1]
+            u[match[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    return [(j, i) for i, j in pairs] if flip else pairs
 
 
 def hungarian_many(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +159,9 @@ def assignments(cost: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndar
     for shape in sorted(set(zip(n.tolist(), m.tolist(), strict=True))):
         if all(shape):
             who = np.flatnonzero((n == shape[0]) & (m == shape[1]))
-            b, i, j = hungarian_many(cost[start[who][:, None] + np.arange(shape[0] * shape[1])].reshape(-1, *shape))
+            some = cost[start[who][:, None] + np.arange(shape[0] * shape[1])].reshape(-1, *shape)
+            # steps of many cost more than those of one
+            b, i, j = hungarian_many(some) if len(who) > 2 else np.array([(k, *pair) for k, c in enumerate(some) for pair in hungarian(c)]).T
             out.append((who[b], i, j))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=int),) * 3
 

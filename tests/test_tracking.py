@@ -128,3 +128,31 @@ def test_stream_equals_batch(spark, detections, tmp_path):
     finally:
         spark.conf.unset(key)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, tracking.track(detections).collect()))
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 10_000])
+def test_clips_in_step_equal_each_alone(size, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    settings, rows, expected = Settings(gated=True, keep=4), [], []
+    for clip in range(60):
+        f = int(rng.integers(0, 3))
+        alone, places = Tracker(settings), rng.uniform(0, 60, (4, 2))
+        for _ in range(int(rng.integers(1, 12))):
+            n = int(rng.integers(1, 5))
+            x = np.round(np.column_stack((places[rng.integers(0, 4, n)] + rng.normal(0, 1.5, (n, 2)), rng.choice([0.05, 0.3, 0.65, 0.8, 0.9], n))), 1)
+            x = x[np.lexsort((x[:, 1], x[:, 0], -x[:, 2]))]
+            boxes = np.column_stack((x[:, :2], x[:, 0] + 30, x[:, 1] + 60))
+            rows += [(f"c{clip:02}", f, *b, s) for b, s in zip(boxes.tolist(), x[:, 2].tolist(), strict=True)]
+            expected += [(f"c{clip:02}", f, *t) for t in alone.update(f, boxes, x[:, 2])]
+            alone = Tracker(settings, alone.state())
+            f += int(rng.choice([1, 1, 1, 1, 1, 1, 2, 9, 40]))
+    names = ["clip_id", "frame_id", "x1", "y1", "x2", "y2", "score"]
+    batch = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    steps, step = [], tracking.Tracks.step
+    monkeypatch.setattr(tracking.Tracks, "step", lambda *a: steps.append(1) or step(*a))
+    got = [tuple(r.values()) for b in tracking._in_step(iter([batch.slice(k, size) for k in range(0, len(rows), size)]), settings) for r in b.to_pylist()]
+    assert sorted(got) == sorted(expected) and len(expected) > 100
+    # many clips take as many steps as the longest of them has frames
+    assert size < 10_000 or len(steps) <= 11 * (settings.keep + 3)
