@@ -50,7 +50,7 @@ def box_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     sinks.boxes_text(boxes, path)
     # the clip is the folder that the writer made
-    return rounded(readers.boxes(spark, f"{path}/*").withColumn("clip_id", F.regexp_extract(F.input_file_name(), "clip_id=([^/]+)/", 1)))
+    return rounded(readers.boxes(spark, path).withColumn("clip_id", F.regexp_extract(F.input_file_name(), "clip_id=([^/]+)/", 1)))
 
 
 @query("SELECT o_orderkey::VARCHAR AS name, 'new/' || o_orderkey || '.mp4' AS path FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey::VARCHAR, 'old/' || o_orderkey || '.mp4' FROM orders WHERE o_orderkey % 3 <> 0")

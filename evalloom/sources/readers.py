@@ -63,9 +63,20 @@ def questions(spark: SparkSession, path: str, item_schema: str, start: int = 0,
     return rows.where((F.col("index") >= start) & (F.lit(True) if end is None else F.col("index") < end))
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all text files under a folder. A few tasks a core list its folders, not one for each of them."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.option("recursiveFileLookup", True).text(path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Box text files: frame, track, x1, y1, x2, y2[, confidence, ...]; blank and short lines are skipped. ``clip_id``: the file's name."""
-    rows = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("clip_id"), F.split(F.trim("value"), r"\s*,\s*").alias("f"))
+    """Box text files in a folder and those under it: frame, track, x1, y1, x2, y2[, confidence, ...]; blank and short lines are skipped. ``clip_id``: the file's name."""
+    rows = _listed(spark, path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("clip_id"), F.split(F.trim("value"), r"\s*,\s*").alias("f"))
     number = lambda k: F.try_element_at("f", F.lit(k)).try_cast("double")
     named = [number(k).alias(c) for k, c in ((3, "x1"), (4, "y1"), (5, "x2"), (6, "y2"))]
     out = rows.where(F.size("f") >= 6).select("clip_id", number(1).cast("int").alias("frame_id"), number(2).cast("int").alias("track_id"), *named, F.coalesce(number(7), F.lit(1.0)).alias("confidence"))

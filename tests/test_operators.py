@@ -272,3 +272,17 @@ def test_assignments_of_many_frames_in_step(spark):
             expected += [(c, f, i, j, 1 - cost[i, j]) for i, j in boxes.hungarian(np.minimum(cost, 0.6 + 1e-6)) if cost[i, j] <= 0.6]
     assert sorted(map(tuple, boxes.optimal_assignment(pairs, 0.6).collect())) == sorted(expected)
     assert boxes.optimal_assignment(pairs.limit(0), 0.6).count() == 0
+
+
+def test_box_folders_are_listed_by_few_tasks(spark, tmp_path):
+    rows = [(c, c % 7, 1, 0.5, 1.0, 2.0, 3.0, 1.0) for c in range(40)]
+    sinks.boxes_text(spark.createDataFrame(rows, "clip_id int, frame_id int, track_id int, x1 double, y1 double, x2 double, y2 double, confidence double").coalesce(1), str(tmp_path / "out"))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, context = spark.conf.get(key), spark.sparkContext
+    context.setJobGroup("boxes listed", "")
+    got = readers.boxes(spark, str(tmp_path / "out"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in context.statusTracker().getJobIdsForGroup("boxes listed") for s in context.statusTracker().getJobInfo(j).stageIds]
+    assert stages and all(context.statusTracker().getStageInfo(s).numTasks <= 16 for s in stages)
+    assert spark.conf.get(key) == before and got.count() == 40
+    assert readers.boxes(spark, str(tmp_path / "out" / "clip_id=3")).count() == 1
